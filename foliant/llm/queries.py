@@ -1,22 +1,107 @@
-"""The registered query of every operator of this subpackage."""
+"""The registered query of every operator of this subpackage, and SQL where it can express one."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe
+from .hilbert import hilbert_shards
 from .jaccard import jaccard_components
+from .mixing import mixture
+from .mpeg import read_mpeg, to_mpeg
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(_documents(spark, sf_dir), shards=24, law="rows")
+
+
+def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_mpeg(to_mpeg(_documents(spark, sf_dir), unit=64))
+    n = F.length("payload")
+    feature = F.concat_ws(
+        ";",
+        F.format_string("mpeg%s-%d/%dHz/%dch", F.format_number("version", 1), "layer", "hertz", "channels"),
+        F.format_string("frames=%d,samples=%d", "n_frames", "n_samples"),
+        F.format_string("crc=%d/%d,resyncs=%d,skipped=%d", "crc_good", "crc_bad", "resyncs", "skipped"),
+        F.format_string("%s=%d", "table_kind", "table_frames"),
+        F.concat(F.lit("kbps="), F.array_join("kbps", "+")),
+        F.concat(F.lit("seek="), F.crc32(F.array_join("seek", ",").cast("binary"))),
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        n.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).cast("long").alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe(_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(_documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
 QUERIES = {
+    "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_mpeg_audio": op2_mpeg_audio,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op9_source_mixing": op9_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_MIXTURE_SQL = r"""
+WITH sized AS (
+  SELECT *, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+  FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, CAST(sum(3 * source_size) OVER o - 3 * source_size AS BIGINT) AS before,
+         CAST(sum(weight) OVER () - sum(weight) OVER o + weight AS BIGINT) AS rest,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total
+  FROM per WINDOW o AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST)
+), levels AS (
+  SELECT *, CAST(total - before AS DOUBLE) / rest AS level FROM ranked
+), filled AS (
+  SELECT (SELECT arg_min(level, before - rest) FROM levels WHERE level * weight <= 3 * source_size) AS fill
+), targets AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), fill * weight) AS target FROM levels, filled
+), rated AS (
+  SELECT s.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0e0 END AS rate,
+         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS draw
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), mixed AS (
+  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated
+)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_source_mixing": _MIXTURE_SQL + "SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mixed",
+}
