@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import compression_quality, langid, toxicity
+from .boilerplate import drop_boilerplate
 from .bpe import bpe
 from .hilbert import hilbert_shards
 from .jaccard import jaccard_components
+from .learning import fold
 from .mixing import mixture
 from .mpeg import read_mpeg, to_mpeg
+from .neardup import near_duplicates
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,17 +65,58 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), k=4, num=85, den=100)
 
 
+def _labels(spark: SparkSession, sf_dir: str, column: str, folds: int, held: int) -> DataFrame:
+    """Labels to learn from: all but the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.filter(fold("doc_id", folds) != held).select("doc_id", F.col(column).alias("label"))
+
+
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = compression_quality.fit(docs, _labels(spark, sf_dir, "quality", 5, 0))
+    scored = compression_quality.score(docs, model, threshold=0.3)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_boilerplate(_documents(spark, sf_dir).select("doc_id", "text", "source"), report="report")
+    return cleaned.select("doc_id", "text", F.col("report.lines").alias("n_lines"), F.col("report.removed").alias("n_removed"))
+
+
+def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 3, 1))
+    scored = toxicity.score(docs, model, threshold=0.7)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_word_backoff_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.filter(fold("doc_id", 5) != 0).select("doc_id", "text", "lang"))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture(_documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op10_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_mpeg_audio": op2_mpeg_audio,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_compression_quality": op5_compression_quality,
+    "op6_line_spread": op6_line_spread,
+    "op7_nb_toxicity": op7_nb_toxicity,
+    "op8_word_backoff_langid": op8_word_backoff_langid,
     "op9_source_mixing": op9_source_mixing,
+    "op10_hnsw_near_duplicates": op10_hnsw_near_duplicates,
 }
 
 _MIXTURE_SQL = r"""
@@ -102,6 +147,27 @@ WITH sized AS (
 )
 """
 
+_LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, text, source, i AS pos, string_split(text, chr(10))[i] AS line
+  FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), spread AS (
+  SELECT line, min((doc_id, pos)) AS first
+  FROM lines WHERE length(line) >= 10
+  GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'null')) >= 10
+), marked AS (
+  SELECT l.doc_id, l.text, l.pos, l.line, s.line IS NOT NULL AND (l.doc_id, l.pos) <> s.first AS gone
+  FROM (SELECT DISTINCT doc_id, text, pos, line FROM lines) l LEFT JOIN spread s ON l.line = s.line
+), kept AS (
+  SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS cleaned,
+         count(*) AS n_lines, count(*) FILTER (gone) AS n_removed
+  FROM marked GROUP BY doc_id, text
+)
+SELECT d.doc_id, k.cleaned AS text, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.text = k.text
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_line_spread": _LINES_SQL,
     "op9_source_mixing": _MIXTURE_SQL + "SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM mixed",
 }
