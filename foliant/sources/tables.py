@@ -97,3 +97,8 @@ def merge_corpora(*corpora: DataFrame) -> DataFrame:
 def numbered_images(lines: DataFrame, names: DataFrame) -> DataFrame:
     """Corpus lines whose image ``%07d.png`` exists in names(name)."""
     return lines.withColumn("name", F.format_string("%07d.png", "line_no")).join(names, "name", "left_semi")
+
+
+def strip_all(column):
+    """Without white space at both ends."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
