@@ -28,8 +28,8 @@ DELIMITERS = ("$$", r"\[", r"\]", r"\(", r"\)", "$")
 
 def without_delimiters(text: Column) -> Column:
     for d in DELIMITERS:
-        text = F.when(text.startswith(d), F.substr(text, F.lit(len(d) + 1))).otherwise(text)
-        text = F.when(text.endswith(d), F.left(text, F.length(text) - len(d))).otherwise(text)
+        mark = "".join(f"\\{c}" for c in d)
+        text = F.regexp_replace(F.regexp_replace(text, f"^{mark}", ""), f"{mark}$", "")
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 

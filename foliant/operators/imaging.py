@@ -103,7 +103,8 @@ def row_bands(pixels: DataFrame, axis: str = "y", least: int = 8, share: float =
     from pyspark.sql import Window
 
     ink = pixels.groupBy("image_id", axis).agg(F.count_if(F.col("grey") < dark).alias("n"))
-    full = ink.filter(F.col("n") >= share * F.max("n").over(Window.partitionBy("image_id"))).filter("n > 0")
+    most = F.max("n").over(Window.partitionBy("image_id"))
+    full = ink.withColumn("_most", most).filter((F.col("n") >= share * F.col("_most")) & (F.col("n") > 0))
     w = Window.partitionBy("image_id").orderBy(axis)
     jump = F.col(axis) - F.lag(axis).over(w) > F.lit(max(1, merge))
     runs = full.withColumn("_f", F.coalesce(jump, F.lit(True)).cast("int")).withColumn("band", F.sum("_f").over(w))

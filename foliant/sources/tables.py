@@ -55,13 +55,13 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """stem and text of every file, read whole."""
-    read = spark.read.option("wholetext", "true").text(path)
+    read = spark.read.text(path, wholetext=True)
     return read.select(F.regexp_extract("_metadata.file_name", r"^(.+?)(?:\.[^.]*)?$", 1).alias("stem"), F.col("value").alias("text"))
 
 
 def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (dense, from 0) and stripped text of one corpus file."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "text"))
     return lines.select(F.col("line_no").cast("long"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 

@@ -35,7 +35,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_table_grid(spark):
-    tokens = spark.createDataFrame([(1, 1, i, t, *b) for i, (t, b) in enumerate([("a", (0, 10, 0, 10)), ("b", (52, 60, 0, 10)), ("c", (0, 10, 30, 40)), ("c2", (12, 20, 30, 40)), ("---", (0, 9, 50, 60))])], "page_id long, det_id long, tok_id long, text string, x1 double, x2 double, y1 double, y2 double")
+    tokens = spark.createDataFrame([(1, 1, i, t, *map(float, b)) for i, (t, b) in enumerate([("a", (0, 10, 0, 10)), ("b", (52, 60, 0, 10)), ("c", (0, 10, 30, 40)), ("c2", (12, 20, 30, 40)), ("---", (0, 9, 50, 60))])], "page_id long, det_id long, tok_id long, text string, x1 double, x2 double, y1 double, y2 double")
     boxes = [("table row", 0.9, 0, 0, 100, 20), ("table row", 0.9, 0, 25, 100, 45), ("table column header", 0.9, 50, 0, 100, 45), ("table column", 0.9, 0, 0, 45, 45), ("table column", 0.9, 0, 0, 99, 45), ("table row", 0.5, 0, 60, 100, 80)]
     axes = tables.axes(spark.createDataFrame([(1, 1, *map(float_or, b)) for b in boxes], "page_id long, det_id long, label string, score double, x1 double, y1 double, x2 double, y2 double"), 100)
     cells = tables.grid(tables.table_tokens(tokens, 100), axes)
