@@ -24,16 +24,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, frugal
 
 # The characters with Unicode's White_Space property.
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: No match of the splitting pattern holds a white character after another one,
 #: so texts may be cut before any white character that follows a different one.
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_CACHED = 400_000
+_CACHED = 250_000
 _CACHED_CHARS = 64
-_CACHED_PAIRS = 1_000_000
+_CACHED_PAIRS = 500_000
 _NEVER = 1 << 62
 _LARGEST_VOCABULARY = 64 << 20
 
@@ -237,4 +237,4 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True) ->
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, ids binary" + ", decoded binary" * decode
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)

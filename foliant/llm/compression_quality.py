@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import fit_line, labelled_sample, sigmoid
-from .store import bounded_batches
+from .store import bounded_batches, frugal
 
 DICTIONARY_BYTES = 112_640
 BLOCK = 256
@@ -102,5 +102,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(own.score(t or "")) for t in batch.column(1).to_pylist()])], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import labelled_sample
-from .store import bounded_batches
+from .store import bounded_batches, frugal
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 150_000
 _LONGEST_WORD = 64
 LONGEST_GRAM = 5
 UNKNOWN = "und"
@@ -121,4 +121,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, frugal
 
 # Fixed values of the MPEG audio standards: kbit/s by bitrate index 1 to 14, Hz by sampling index.
 _KBPS = {
@@ -251,7 +251,7 @@ def to_mpeg(docs: DataFrame, unit: int = 64) -> DataFrame:
             media = [write(t.ljust(max(unit, -(-len(t) // unit) * unit), b"\0"), {"n_bytes": str(len(t))}) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, n_bytes long, media binary")
 
 
 _READ = (
@@ -282,7 +282,7 @@ def read_mpeg(media: DataFrame) -> DataFrame:
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _read_schema, strict=True)], schema=_read_schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _READ)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(frugal(run), _READ)
 
 
 _read_schema = pa.schema(

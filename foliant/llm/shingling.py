@@ -74,7 +74,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets)
 
 
-def blocks(column: pa.Array, most: int = 1 << 21):
+def blocks(column: pa.Array, most: int = 1 << 18):
     """(first row, slice) pieces of about ``most`` bytes of text, whole rows each."""
     column = column.cast(pa.large_string())
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)

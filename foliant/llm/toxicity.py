@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import labelled_sample, sigmoid
-from .store import bounded_batches
+from .store import bounded_batches, frugal
 
 BUCKETS = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 _LONGEST_WORD = 64
 
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores([t or "" for t in batch.column(1).to_pylist()]), pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -158,4 +158,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             scores = own.scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
