@@ -16,15 +16,17 @@ The join on (band, block, XOR) thus loses no link. Candidates pass a size and
 a Hamming test and are then verified on the exact sets.
 
 Groups: equal sets are one class from the start. Within one block key pairs
-are tested against the key's first class only; further rounds take further
-centres for the keys that still span several components, until none does or
-every pair is decided. So a group of n near copies costs about n tests for
-each centre, not n * n, and no pair is left undecided.
+are tested against the key's first class only, so a group of n near copies
+costs about n tests for each centre, not n * n. For the keys that still span
+several components the rarest shingles of their members become the keys. What
+is still mixed then is compared in bounded blocks on bit sketches of 4,096
+bits, and the near pairs are verified, so every pair is decided.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingling import mix, overlap, shingle_sets
-from .store import bounded_batches, cut
+from .store import bounded_batches, cut, frugal
 
 PARITY_BITS = 512
 _BAND_GROWTH = 1.4
+WIDE_BITS = 4096
+_BLOCK = 1024
 _SEEN_CLASSES = 1_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,26 +196,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     for each row of ``docs``: doc_id, n_shingles (long), component_id (smallest
     doc_id reachable by links). A null or wordless text has an empty set, links
     with nothing and is its own component; with fewer than ``k`` words the
-    whole sequence is one shingle. Rows that share a doc_id are one document
-    and may be linked through any of their texts. An empty table gives an empty
+    whole sequence is one shingle. A row without doc_id takes the component of
+    its equals, null if they have no id either. Rows that share a doc_id are one
+    document and may be linked through any of their texts. An empty table gives an empty
     result. Equality of shingles rests on 64-bit hashes, of sets on 128 bits.
     """
     bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = cut(
         base.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-            _profile(k), "doc_id long, text_key long, size long, one long, two long, parity array<long>"
+            frugal(_profile(k)), "doc_id long, text_key long, size long, one long, two long, parity array<long>"
         )
     )
     full = profile.filter("size > 0")
     classes = cut(
         full.groupBy("one", "two", "size")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("parity").alias("parity"))
+        .agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first"), F.first("parity").alias("parity"))
         .select("one", "two", "size", "first.doc_id", "first.text_key", "parity")
     )
-    signatures = base.select("text").mapInArrow(_keys(k, num, den), "key long, one long")
+    signatures = base.select("text").mapInArrow(frugal(_keys(k, num, den)), "key long, one long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = cut(signatures.repartition(parts, "key").sortWithinPartitions("key", "one").mapInArrow(_runs, "key long, lo long, one long, nth long"))
+    runs = cut(signatures.repartition(parts, "key").sortWithinPartitions("key", "one").mapInArrow(frugal(_runs), "key long, lo long, one long, nth long"))
 
     side = {x: classes.select(F.col("one").alias("lo" if x == "a" else "one"), F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab"}
     pairs = runs.select("lo", "one").distinct().join(side["a"], "lo").join(side["b"], "one")
@@ -232,30 +237,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     )
     links = cut(_verified(tested, texts, k, num, den))
     labels = components(links)
-    facts = classes.select(F.col("doc_id").alias("node"), "size", "parity")
-    centres = 16
-    while True:
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        live = cut(named.join(mixed.select("key"), "key"))
-        ranked = live.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("nth") <= centres)
-        hubs = cut(ranked.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
-        fresh = live.join(hubs, "key").filter("node > hub and label <> hub_label").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        fresh = fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        sides = [facts.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab"]
-        fresh = cut(_passing(fresh.join(sides[0], "a").join(sides[1], "b"), num, den).select("a", "b"))
-        members = live.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        if not fresh.limit(1).count():
-            if not members.limit(1).count():
-                break
-        else:
-            more = cut(_verified(fresh, texts, k, num, den))
-            tested = cut(tested.select("a", "b").union(fresh))
-            if more.limit(1).count():
-                links = links.union(more)
-                labels = components(links)
-        members = cut(members)
-        centres *= 16
+    crowd = _mixed(members, labels)
+    nodes = cut(texts.join(crowd.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    rare = cut(_rare_members(nodes, k, num, den))
+    for forest in (True, False):
+        mixed = _mixed(rare, labels)
+        close = cut(_ordered(_close_pairs(mixed, nodes, k, num, den, forest)).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        more = cut(_verified(close, texts, k, num, den))
+        held, tried = more.count(), close.count()
+        if held:
+            links = links.union(more)
+            labels = components(links)
+        if held == tried:
+            break  # the forests span all near pairs of their blocks
+        tested = tested.select("a", "b").union(close)
 
     rep = classes.select("one", "two", "size", F.col("doc_id").alias("rep"))
     settled = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "size", F.coalesce("label", "rep").alias("component_id"))
@@ -263,6 +258,116 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     return own.select("doc_id", "n_shingles", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the keys whose members still lie in several components."""
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return named.join(mixed.select("key"), "key")
+
+
+def _rare_members(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, node) rows that bring together every linked pair of the crowded keys, by shared rare shingles.
+
+    Documents that share a long passage crowd the block keys without being
+    linked. Order all their shingles by how many of these documents hold them:
+    linked sets of n shingles share one of their n - ceil(t*n) + 1 rarest, so
+    only those become keys. A shingle that one document holds alone needs none.
+    """
+    grams = nodes.mapInArrow(frugal(_shingles(k)), "node long, size long, key long")
+    held = grams.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    shared = grams.join(held, "key")
+    own = Window.partitionBy("node")
+    ranked = shared.withColumn("nth", F.row_number().over(own.orderBy("held", "key"))).withColumn("alone", F.col("size") - F.count("*").over(own))
+    rare = ranked.filter(F.expr(f"nth <= size - (size * {num} + {den - 1}) div {den} + 1 - alone"))
+    # partners' sizes differ by the similarity at most: by one band of that width
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9)
+    return rare.select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"), "node")
+
+
+def _close_pairs(members: DataFrame, nodes: DataFrame, k: int, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs of different components within a key whose wide bit sketches lie near enough.
+
+    A key's members are dealt to blocks of about 1,024 and each pair of blocks
+    is one bounded group, compared by vectorised Hamming distances. Near pairs
+    leave it: with ``forest`` only as many, nearest first, as connect what all
+    of them would; else each of them.
+    """
+    sketches = nodes.mapInArrow(frugal(_wide(k)), "node long, size long, sketch binary")
+    # keys with the same members decide the same pairs: keep one of each
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    kept = alike.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("parts"))
+    dealt = members.join(kept, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sketches, "node")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "sketch")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_near(num, den, forest), "a long, b long").distinct()
+
+
+def _wide(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sketches = [], []
+            for _, got in shingle_sets(batch.column(1), k):
+                sizes.append(len(got))
+                bits = np.bincount((got & np.uint64(WIDE_BITS - 1)).astype(np.int64), minlength=WIDE_BITS) & 1
+                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["node", "size", "sketch"])
+
+    return run
+
+
+def _near(num: int, den: int, forest: bool):
+    def run(table: pa.Table) -> pa.Table:
+        own, node, label, size = (np.asarray(table.column(c)) for c in ("own", "node", "label", "size"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        parts = [np.zeros((0, 3), np.int64)]
+        for x in left:
+            fit = right[(label[x] != label[right]) & (den * np.minimum(size[x], size[right]) >= num * np.maximum(size[x], size[right])) & ((i != j) | (node[x] < node[right]))]
+            if len(fit):
+                far = np.bitwise_count(bits[fit] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                near = far * (den + num) <= (size[x] + size[fit]) * (den - num)
+                parts.append(np.column_stack([far[near], np.full(near.sum(), x), fit[near]]))
+        pairs = np.concatenate(parts)
+        if forest:
+            pairs = _forest(pairs, label)
+        return pa.table({"a": node[pairs[:, 1]], "b": node[pairs[:, 2]]})
+
+    return run
+
+
+def _forest(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of (distance, row, row) those that join labels not joined yet, nearest first."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    ends = np.sort(label[pairs[:, 1:]], axis=1)
+    _, first = np.unique(ends, axis=0, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    kept = []
+    for at in np.sort(first).tolist():
+        a, b = root(int(ends[at, 0])), root(int(ends[at, 1]))
+        if a != b:
+            up[b] = a
+            kept.append(at)
+    return pairs[kept]
+
+
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for i, got in shingle_sets(batch.column(1), k):
+                n = len(got)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[i])), pa.array(np.full(n, n, np.int64)), pa.array(got.view(np.int64))], ["node", "size", "key"])
+
+    return run
+
+
 def _passing(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that pass the size test and the Hamming bound of their bit sketches."""
     hamming = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -277,4 +382,4 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, num, den), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(_verify(k, num, den)), "a long, b long")
