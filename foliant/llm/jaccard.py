@@ -216,7 +216,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     )
     signatures = base.select("text").mapInArrow(frugal(_keys(k, num, den)), "key long, one long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = cut(signatures.repartition(parts, "key").sortWithinPartitions("key", "one").mapInArrow(frugal(_runs), "key long, lo long, one long, nth long"))
+    runs = cut(signatures.repartition(parts, "key").sortWithinPartitions("key", "one").mapInArrow(frugal(_runs), "key long, lo long, one long, nth long"), free=True)
 
     side = {x: classes.select(F.col("one").alias("lo" if x == "a" else "one"), F.col("doc_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab"}
     pairs = runs.select("lo", "one").distinct().join(side["a"], "lo").join(side["b"], "one")
@@ -239,7 +239,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     labels = components(links)
     crowd = _mixed(members, labels)
     nodes = cut(texts.join(crowd.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    rare = cut(_rare_members(nodes, k, num, den))
+    rare = cut(_rare_members(nodes, k, num, den), free=True)
     for forest in (True, False):
         mixed = _mixed(rare, labels)
         close = cut(_ordered(_close_pairs(mixed, nodes, k, num, den, forest)).join(tested.select("a", "b"), ["a", "b"], "left_anti"))

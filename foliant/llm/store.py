@@ -52,14 +52,19 @@ def frugal(run):
     return inner
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends. With ``free`` the driver collects
+    its garbage, so that Spark drops the shuffle files that the write was the
+    last to need.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
