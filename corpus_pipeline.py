@@ -29,8 +29,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that stand on ten sites or more, save their first occurrence."""
-    return drop_boilerplate(docs)
+    """Every document, without the lines that stand on ten sites or more, save their first occurrence; empty lines stay."""
+    return drop_boilerplate(docs, least_chars=1)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

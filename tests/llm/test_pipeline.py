@@ -55,3 +55,9 @@ def test_empty_tables(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_short_shared_lines_go_too(spark):
+    docs = documents(spark, [(i, f"own line number {i}\n\nLes.", "en", f"s{i % 12}") for i in range(24)])
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got == {i: f"own line number {i}\n" + "\nLes." * (i == 0) for i in range(24)}
