@@ -20,7 +20,9 @@ are tested against the key's first class only, so a group of n near copies
 costs about n tests for each centre, not n * n. For the keys that still span
 several components the rarest shingles of their members become the keys. What
 is still mixed then is compared in bounded blocks on bit sketches of 4,096
-bits, and the near pairs are verified, so every pair is decided.
+bits: a spanning forest of the near pairs is verified, again without the pairs
+that failed while some do, and after four forests all near pairs that are left,
+so every pair is decided.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ _BAND_GROWTH = 1.4
 WIDE_BITS = 4096
 _BLOCK = 1024
 _SEEN_CLASSES = 1_000_000
+_FORESTS = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,16 +244,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     crowd = _mixed(members, labels)
     nodes = cut(texts.join(crowd.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     rare = cut(_rare_members(nodes, k, num, den), free=True)
-    for forest in (True, False):
+    for forest in [True] * _FORESTS + [False]:
         mixed = _mixed(rare, labels)
-        close = cut(_ordered(_close_pairs(mixed, nodes, k, num, den, forest)).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        more = cut(_verified(close, texts, k, num, den))
+        close = cut(_ordered(_close_pairs(mixed, nodes, _failed(tested, mixed), k, num, den, forest)))
+        more = cut(_verified(close, texts, k, num, den).distinct())
         held, tried = more.count(), close.count()
         if held:
             links = links.union(more)
             labels = components(links)
         if held == tried:
-            break  # the forests span all near pairs of their blocks
+            break  # every edge of the forests is a link, and they span all near pairs of their blocks that had not failed
         tested = tested.select("a", "b").union(close)
 
     rep = classes.select("one", "two", "size", F.col("doc_id").alias("rep"))
@@ -284,21 +288,35 @@ def _rare_members(nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return rare.select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"), "node")
 
 
-def _close_pairs(members: DataFrame, nodes: DataFrame, k: int, num: int, den: int, forest: bool) -> DataFrame:
+def _failed(tested: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(node, barred): tested pairs that lie in different components still, each with the end that has fewer of them."""
+    of = mixed.select("node", "label").distinct()
+    pairs = tested.select("a", "b").join(of.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a")
+    pairs = pairs.join(of.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b").filter("label_a <> label_b")
+    pairs = cut(pairs.select("a", "b").distinct())
+    many = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("many"))
+    for x in "ab":
+        pairs = pairs.join(many.select(F.col("node").alias(x), F.col("many").alias(f"many_{x}")), x)
+    fewer = F.col("many_a") < F.col("many_b")
+    ends = pairs.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    return ends.groupBy("node").agg(F.collect_list("other").alias("barred"))
+
+
+def _close_pairs(members: DataFrame, nodes: DataFrame, failed: DataFrame, k: int, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs of different components within a key whose wide bit sketches lie near enough.
 
     A key's members are dealt to blocks of about 1,024 and each pair of blocks
     is one bounded group, compared by vectorised Hamming distances. Near pairs
-    leave it: with ``forest`` only as many, nearest first, as connect what all
-    of them would; else each of them.
+    that have not ``failed`` leave it: with ``forest`` only as many, nearest
+    first, as connect what all of them would; else each of them.
     """
-    sketches = nodes.mapInArrow(frugal(_wide(k)), "node long, size long, sketch binary")
+    sketches = nodes.mapInArrow(frugal(_wide(k)), "node long, size long, sketch binary").join(failed, "node", "left")
     # keys with the same members decide the same pairs: keep one of each
     alike = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
     kept = alike.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("parts"))
     dealt = members.join(kept, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sketches, "node")
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size", "sketch", "barred")
     return dealt.groupBy("key", "i", "j").applyInArrow(_near(num, den, forest), "a long, b long").distinct()
 
 
@@ -328,7 +346,7 @@ def _near(num: int, den: int, forest: bool):
                 far = np.bitwise_count(bits[fit] ^ bits[x]).sum(axis=1, dtype=np.int64)
                 near = far * (den + num) <= (size[x] + size[fit]) * (den - num)
                 parts.append(np.column_stack([far[near], np.full(near.sum(), x), fit[near]]))
-        pairs = np.concatenate(parts)
+        pairs = _open(np.concatenate(parts), node, table.column("barred").combine_chunks())
         if forest:
             pairs = _forest(pairs, label)
         return pa.table({"a": node[pairs[:, 1]], "b": node[pairs[:, 2]]})
@@ -336,6 +354,16 @@ def _near(num: int, den: int, forest: bool):
     return run
 
 
+def _open(pairs: np.ndarray, node: np.ndarray, barred: pa.ListArray) -> np.ndarray:
+    """Of (distance, row, row) those that neither row bars."""
+    once, at = np.unique(node, return_inverse=True)
+    row, other = at[np.asarray(pc.list_parent_indices(barred))], np.asarray(pc.list_flatten(barred))
+    place = np.minimum(np.searchsorted(once, other), len(once) - 1)
+    here = once[place] == other
+    codes = np.concatenate([row[here] * len(once) + place[here], place[here] * len(once) + row[here]])
+    return pairs[~np.isin(at[pairs[:, 1]] * len(once) + at[pairs[:, 2]], codes)]
+
+
 def _forest(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Of (distance, row, row) those that join labels not joined yet, nearest first."""
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]

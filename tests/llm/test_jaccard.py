@@ -3,10 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from foliant.llm.jaccard import Bands, block_keys, jaccard_components, largest_difference
-from foliant.llm.shingling import overlap
+from foliant.llm.jaccard import WIDE_BITS, Bands, block_keys, jaccard_components, largest_difference
+from foliant.llm.shingling import mix, overlap, shingle_sets
 
 from .helpers import clashing, documents
 
@@ -76,3 +77,38 @@ def test_a_linked_pair_shares_a_block():
             bands = Bands(85, 100)
             keys = [{int(k) for level in bands.levels(len(s)) for k in block_keys(s, *level)} for s in (a, b)]
             assert keys[0] & keys[1], (len(a), len(b))
+
+
+def failed_centre():
+    """Texts of single-word shingles: x and y are linked; c, nearer to both by sketch, fails with both, and no key of x and y has either of them first."""
+    words = [f"w{i}" for i in range(20_000)]
+    value = {w: int(got[0]) for w, (_, got) in zip(words, shingle_sets(pa.array(words), 1), strict=True)}
+    low, mid, high = ([w for w in words if a << 62 <= value[w] < b << 62] for a, b in ((0, 1), (1, 2), (2, 4)))
+    base = mid[:257] + high[:514]
+    d = high[:514] + mid[257:583]
+    count = Bands(85, 100).levels(839)[0][1]
+    assert len(Bands(85, 100).levels(840)) == 1
+
+    def one(text):
+        return int(np.bitwise_xor.reduce(mix(np.array([value[w] for w in text], np.uint64) + np.uint64(1))).view(np.int64))
+
+    def far(a, b):
+        return int((np.bincount([value[w] % WIDE_BITS for w in set(a) ^ set(b)]) & 1).sum())
+
+    for seed in range(5_000):
+        random.Random(seed).shuffle(low)
+        own, rest = low[:136], low[136:]
+        hit = {(value[w] >> 32) * count >> 32 for w in own}
+        x, y = base + own[:68], base + own[68:]
+        c = base + [w for w in rest[:200] if (value[w] >> 32) * count >> 32 in hit][:69]
+        if one(d) < one(c) < min(one(x), one(y)) and max(far(c, x), far(c, y)) < far(x, y):
+            return [(i, " ".join(t)) for i, t in enumerate([c, x, y, d])]
+        if one(d) > -(2**62):  # any d will do whose hash is low
+            d = d[:-1] + [mid[583 + seed]]
+    raise AssertionError("no such texts")
+
+
+def test_a_failed_centre_stands_in_for_no_link(spark):
+    rows = failed_centre()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(documents(spark, rows), 1, 85, 100).collect()}
+    assert got == brute(rows, 1, 85, 100) == {0: (840, 0), 1: (839, 1), 2: (839, 1), 3: (840, 3)}
