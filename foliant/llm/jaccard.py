@@ -180,12 +180,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            once, first = np.unique(ids, return_index=True)
-            left = dict(zip(once.tolist(), (got for _, got in shingle_sets(batch.column(2).take(pa.array(first)), k)), strict=True))
-            keep = np.zeros(len(ids), bool)
+            once = batch.column(2).dictionary_encode()
+            texts, left = once.indices.to_pylist(), [got for _, got in shingle_sets(once.dictionary, k)]
+            keep = np.zeros(batch.num_rows, bool)
             for i, got in shingle_sets(batch.column(3), k):
-                other = left[int(ids[i])]
+                other = left[texts[i]]
                 both = overlap(got, other)
                 keep[i] = den * both >= num * (len(got) + len(other) - both) and both > 0
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
@@ -193,12 +192,13 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, keyed: bool = False) -> DataFrame:
     """Components of documents whose word ``k``-shingle sets have Jaccard similarity >= num/den.
 
     Reads ``doc_id`` and ``text``; other columns are ignored. Returns one row
     for each row of ``docs``: doc_id, n_shingles (long), component_id (smallest
-    doc_id reachable by links). A null or wordless text has an empty set, links
+    doc_id reachable by links); with ``keyed`` also text_key, the xxhash64 of
+    the row's text. A null or wordless text has an empty set, links
     with nothing and is its own component; with fewer than ``k`` words the
     whole sequence is one shingle. A row without doc_id takes the component of
     its equals, null if they have no id either. Rows that share a doc_id are one
@@ -258,8 +258,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
     rep = classes.select("one", "two", "size", F.col("doc_id").alias("rep"))
     settled = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "size", F.coalesce("label", "rep").alias("component_id"))
-    own = profile.select("doc_id", F.col("size").alias("n_shingles"), "one", "two", "size").join(settled, ["one", "two", "size"], "left")
-    return own.select("doc_id", "n_shingles", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = profile.select("doc_id", "text_key", F.col("size").alias("n_shingles"), "one", "two", "size").join(settled, ["one", "two", "size"], "left")
+    return own.select("doc_id", *["text_key"] * keyed, "n_shingles", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from foliant.llm.jaccard import WIDE_BITS, Bands, block_keys, jaccard_components, largest_difference
+from foliant.llm.jaccard import WIDE_BITS, Bands, _verify, block_keys, jaccard_components, largest_difference
 from foliant.llm.shingling import mix, overlap, shingle_sets
 
 from .helpers import clashing, documents
@@ -112,3 +112,10 @@ def test_a_failed_centre_stands_in_for_no_link(spark):
     rows = failed_centre()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(documents(spark, rows), 1, 85, 100).collect()}
     assert got == brute(rows, 1, 85, 100) == {0: (840, 0), 1: (839, 1), 2: (839, 1), 3: (840, 3)}
+
+
+def test_any_text_of_an_id_may_link():
+    a, b = (" ".join(f"{w}{n}" for n in range(50)) for w in "ab")
+    batch = pa.record_batch({"a": [1, 1, 3], "b": [2, 2, 2], "text_a": [a, b, a], "text_b": [b + " c"] * 3})
+    (out,) = _verify(4, 85, 100)(iter([batch]))
+    assert out.to_pydict() == {"a": [1], "b": [2]}

@@ -61,3 +61,9 @@ def test_short_shared_lines_go_too(spark):
     docs = documents(spark, [(i, f"own line number {i}\n\nLes.", "en", f"s{i % 12}") for i in range(24)])
     got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
     assert got == {i: f"own line number {i}\n" + "\nLes." * (i == 0) for i in range(24)}
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(i, " ".join(f"{w}{n}" for n in range(40)), "en", s) for i, w, s in [(0, "p", "a"), (1, "p", "a"), (1, "q", "b"), (1, "q", "a"), (2, "r", "b"), (2, "s", "b")]]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, documents(spark, rows + [(3, None)]), "").collect()
+    assert sorted((r["doc_id"], (r["text"] or "-")[0], r["source"]) for r in got) == [(0, "p", "a"), (1, "q", "a"), (2, "r", "b"), (2, "s", "b"), (3, "-", "s")]
