@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, free
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,6 +22,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     plain = plain.filter("a is not null and b is not null and a <> b")
     edges = cut(plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    held = labels
     for _ in range(max_rounds):
         near = (
             edges.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -32,7 +33,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         nxt = cut(met.join(roots, "label").select("node", "old", F.least("label", "up").alias("label")))
         changed = nxt.filter("label <> old").limit(1).count()
-        labels = nxt.select("node", "label")
+        free(held)
+        labels, held = nxt.select("node", "label"), nxt
         if not changed:
+            free(edges)
             return labels
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

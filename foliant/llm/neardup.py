@@ -158,9 +158,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shards: int = 8, mos
     graphs = cut(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, graph binary"))
     asks = graphs.select("dim", F.col("shard").alias("from"), F.col("graph").alias("left"), F.explode(F.sequence(F.col("shard"), F.lit(n - 1))).alias("shard"))
     pairs = asks.join(graphs, ["dim", "shard"]).select((F.col("from") == F.col("shard")).alias("same"), "left", F.when(F.col("from") != F.col("shard"), F.col("graph")).alias("right"))
-    bounded_batches(spark, 1)
     found = cut(pairs.repartition(max(1, n * (n + 1) // 2)).mapInArrow(frugal(_query(least)), "a long, b long, n long"))
-    bounded_batches(spark)
     counts = found.filter("n is not null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     labels = components(found.filter("b is not null").select("a", "b"))
     rows = base.select("vec_id").join(counts, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")

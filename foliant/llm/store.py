@@ -10,6 +10,12 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_BYTES, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of the two or three numbers that a broadcast may hold: some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Send Python workers at most ``rows`` rows at once, so that long texts stay bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Send Python workers about four megabytes at once, so that long texts stay bounded; one row is a batch at least.
+
+    The setting stays, as results are computed after this call; one that the
+    caller made is left alone.
+    """
+    if _BYTES not in spark.conf.getAll:
+        spark.conf.set(_BYTES, str(_BATCH_BYTES))
 
 
 def frugal(run):
@@ -52,19 +63,41 @@ def frugal(run):
     return inner
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The files go when the driver's JVM ends. With ``free`` the driver collects
-    its garbage, so that Spark drops the shuffle files that the write was the
-    last to need.
+    The shuffle files of the write go when it is done, as nothing reads them
+    any more. The table goes with ``free``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    if free:
-        gc.collect()
-        spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    files, jpath = _file_system(spark, path)
+    files.deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` made, once nothing will read them again."""
+    for t in tables:
+        path = getattr(t, "_foliant_path", None)
+        if path:
+            files, jpath = _file_system(t.sparkSession, path)
+            files.delete(jpath, True)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for a broadcast if its rows, counted now, are ``most`` at most; ``df`` should be a ``cut`` table of few columns."""
+    return F.broadcast(df) if df.count() <= most else df
