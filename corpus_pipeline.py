@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliant.llm import toxicity
 from foliant.llm.boilerplate import drop_boilerplate
 from foliant.llm.bpe import bpe
-from foliant.llm.jaccard import jaccard_components
+from foliant.llm.jaccard import one_of_each
 from foliant.llm.learning import fold
 from foliant.llm.mixing import emit
 from foliant.llm.store import cut
@@ -34,18 +34,11 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Different texts of one doc_id are not compared with each other. Of rows
-    with the same doc_id and text the one with the least other columns stays.
+    Rows are compared by text, whatever their ids; the smallest doc_id stays.
     """
-    groups = jaccard_components(docs, k=5, num=4, den=5, keyed=True)
-    keep = groups.filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_doc"), "text_key").distinct()
-    known = docs.filter("doc_id is not null")
-    known = known.join(keep, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("text_key")), "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    known = known.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*")
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return one_of_each(docs, k=5, num=4, den=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
