@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-_PREFIX_BYTES = 7
+_CHUNK = 6
+_TAIL = 4096
 
 
 def hilbert_index(coordinates: list[Column], bits: int) -> Column:
@@ -52,31 +53,93 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.element_at(F.transform(coded, weave), 1)
 
 
+def _chunk(value: Column, skip: int) -> Column:
+    """The ``_CHUNK`` bytes after the first ``skip`` as a number that sorts as they do, short ends included; exact as a double."""
+    part = F.substring(value, skip + 1, _CHUNK)
+    return F.conv(F.rpad(F.hex(part), 2 * _CHUNK, "0"), 16, 10).cast("long") * 8 + F.length(part)
+
+
+def _bytes_of(chunk: int) -> bytes:
+    return (chunk >> 3).to_bytes(_CHUNK, "big")[: chunk & 7]
+
+
+def string_cuts(docs: DataFrame, name: str, cells: int) -> list[bytes]:
+    """Values at the ``cells`` - 1 inner quantiles of a string or binary column, over all its rows.
+
+    Quantiles are found for the first six bytes that differ; where several fall
+    on the same six bytes, they are found again among the rows that begin so,
+    and so on. What all values there share is skipped at once. Each level is two
+    aggregations over the column, of at most ``cells`` expressions.
+    """
+    value = F.col(name).cast("binary")
+    begins = lambda p: F.substring(value, 1, len(p)) == F.lit(bytearray(p))
+    n = docs.agg(F.count(name)).first()[0]
+    cuts: dict[int, bytes] = {}
+    level = [(b"", n, {i: (i + 1) / cells for i in range(cells - 1)})] if n else []
+    while level:
+        ends = docs.agg(
+            *[f(F.when(begins(p), F.substring(value, len(p) + 1, _TAIL))).alias(f"{f.__name__}{g}") for g, (p, _, _) in enumerate(level) for f in (F.min, F.max)]
+        ).first()
+        asked = []
+        for g, (prefix, rows, shares) in enumerate(level):
+            low, high = bytes(ends[f"min{g}"]), bytes(ends[f"max{g}"])
+            if low == high and len(low) < _TAIL:
+                cuts |= dict.fromkeys(shares, prefix + low)
+            else:
+                asked.append((prefix, prefix + os.path.commonprefix([low, high]), rows, shares))
+        if not asked:
+            break
+        found = docs.agg(
+            *[F.percentile_approx(F.when(begins(p), _chunk(value, len(q))), list(shares.values()), 10_000).alias(f"q{g}") for g, (p, q, _, shares) in enumerate(asked)]
+        ).first()
+        hot = []
+        for g, (prefix, skip, rows, shares) in enumerate(asked):
+            by_chunk: dict[int, list[int]] = {}
+            for i, c in zip(shares, found[f"q{g}"], strict=True):
+                by_chunk.setdefault(c, []).append(i)
+            for c, at in by_chunk.items():
+                if len(at) > 1 and c & 7 == _CHUNK:
+                    hot.append((prefix, skip, c, rows, {i: shares[i] for i in at}))
+                else:
+                    cuts |= dict.fromkeys(at, skip + _bytes_of(c))
+        if not hot:
+            break
+        counts = docs.agg(
+            *[F.count_if(begins(p) & (_chunk(value, len(q)) < c)).alias(f"below{g}") for g, (p, q, c, _, _) in enumerate(hot)],
+            *[F.count_if(begins(p) & (_chunk(value, len(q)) == c)).alias(f"n{g}") for g, (p, q, c, _, _) in enumerate(hot)],
+        ).first()
+        level = []
+        for g, (_, skip, c, rows, shares) in enumerate(hot):
+            inner = {i: min(1.0, max(0.0, (x * rows - counts[f"below{g}"]) / counts[f"n{g}"])) for i, x in shares.items()}
+            level.append((skip + _bytes_of(c), counts[f"n{g}"], inner))
+    return [cuts[i] for i in sorted(cuts)]
+
+
 def quantised(docs: DataFrame, dims: tuple[str, ...], bits: int) -> list[Column]:
     """One expression for each dimension: its cell from 0 to 2**bits - 1, null in cell 0.
 
-    Cut points are mergeable percentile sketches, so no dimension is sorted or
-    collected. A string counts by the seven bytes after the prefix that its
-    smallest and largest values share, which keeps its order.
+    Cut points are quantiles over all rows, so no dimension is sorted or
+    collected: mergeable sketches for numbers, dates and timestamps,
+    ``string_cuts`` for strings and binary values, which count by their bytes.
     """
     cells = 1 << bits
     kinds = dict(docs.dtypes)
-    texts = [d for d in dims if kinds[d] == "string"]
-    ends = docs.agg(F.lit(0).alias("_"), *[f(d).alias(f"{f.__name__}_{d}") for d in texts for f in (F.min, F.max)]).first()
     keys = {}
     for d in dims:
-        if d in texts:
-            low, high = ((ends[f"{f}_{d}"] or "").encode() for f in ("min", "max"))
-            shared = len(os.path.commonprefix([low, high]))
-            part = F.substring(F.col(d).cast("binary"), shared + 1, _PREFIX_BYTES)
-            keys[d] = F.conv(F.rpad(F.hex(part), 2 * _PREFIX_BYTES, "0"), 16, 10).cast("long")
+        if kinds[d] in ("string", "binary"):
+            keys[d] = F.col(d).cast("binary")
+        elif kinds[d] == "date":
+            keys[d] = F.unix_date(d).cast("double")
+        elif kinds[d] == "boolean":
+            keys[d] = F.col(d).cast("int").cast("double")
         else:
             keys[d] = F.col(d).cast("double")
     shares = [(i + 1) / cells for i in range(cells - 1)]
-    cuts = docs.agg(F.lit(0).alias("_"), *[F.percentile_approx(keys[d], shares, 10_000).alias(d) for d in dims]).first()
+    numbers = docs.agg(F.lit(0).alias("_"), *[F.percentile_approx(keys[d], shares, 10_000).alias(d) for d in dims if kinds[d] not in ("string", "binary")]).first()
     found = []
     for d in dims:
-        below = sum((F.when(keys[d] > F.lit(c), 1).otherwise(0) for c in cuts[d] or []), F.lit(0))
+        cuts = [bytearray(c) for c in string_cuts(docs, d, cells)] if kinds[d] in ("string", "binary") else numbers[d] or []
+        below = sum((F.when(keys[d] > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
         found.append(F.when(keys[d].isNotNull(), below).otherwise(0))
     return found
 
@@ -88,13 +151,15 @@ def hilbert_shards(
     bits: int = 4,
     law: str = "rows",
     spread: int = 1024,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Cut all documents, in order of a Hilbert curve over ``dims``, into shards.
 
     Reads doc_id, text and ``dims``; other columns are ignored. Returns doc_id,
     size (UTF-8 bytes of the text plus 8; null text: 8), text_crc32 (unsigned;
     null text: that of no bytes), law, shard, slot (gapless from 0 in each
-    shard), grown_shard (null under both laws) and hilbert. Law ``rows`` makes
+    shard), grown_shard (null under both laws), hilbert and the columns that
+    ``keep`` names. Law ``rows`` makes
     counts differ by at most one, ``bytes`` cuts where the running size passes
     a shard's share. Ties on the curve fall in order of a hash of the doc_id,
     then doc_id, checksum and size; repeated rows take neighbouring slots. An
@@ -113,6 +178,7 @@ def hilbert_shards(
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         hilbert_index(quantised(docs, dims, bits), bits).alias("hilbert"),
         F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int").alias("part"),
+        *[F.struct(*keep).alias("_keep")] * bool(keep),
     )
     base = cut(base)
     parts = base.groupBy("hilbert", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
@@ -140,4 +206,17 @@ def hilbert_shards(
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("shard").cast("int").alias("shard"),
         (F.col("place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert",
+        *["_keep.*"] * bool(keep),
     )
+
+
+def shard_ranges(placed: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """(shard, rows, and min_d and max_d for each dimension): one row for each shard of ``hilbert_shards(..., keep=dims)``."""
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)])
+
+
+def shards_to_read(ranges: DataFrame, **within: tuple) -> DataFrame:
+    """The shards that may hold rows with every named dimension in its closed interval; the others need not be opened."""
+    for d, (low, high) in within.items():
+        ranges = ranges.filter((F.col(f"max_{d}") >= F.lit(low)) & (F.col(f"min_{d}") <= F.lit(high)))
+    return ranges.select("shard")
