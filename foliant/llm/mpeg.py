@@ -36,6 +36,7 @@ class Header:
     size: int
     samples: int
     side: int
+    covered: int | None  #: bytes after the checksum that it covers, besides the header; not known for layer II
 
     @property
     def stream(self) -> tuple:
@@ -55,7 +56,10 @@ def _parse_header(word: bytes) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     size = (12_000 * kbps // hz + padding) * 4 if layer == 1 else samples * 125 * kbps // hz + padding
     side = 0 if layer != 3 else (17 if channels == 1 else 32) if version == 1 else (9 if channels == 1 else 17)
-    return Header(version, layer, not bits >> 16 & 1, kbps, hz, channels, size, samples, side)
+    # layer I: four bits of allocation for each subband, shared by both channels above the bound of joint stereo
+    bound = 4 + 4 * (bits >> 4 & 3) if bits >> 6 & 3 == 1 else 32
+    covered = {1: 16 if channels == 1 else (32 + bound) // 2, 2: None, 3: side}[layer]
+    return Header(version, layer, not bits >> 16 & 1, kbps, hz, channels, size, samples, side, covered)
 
 
 _headers: dict[bytes, Header | None] = {}
@@ -97,9 +101,10 @@ class Stream:
     samples: int = 0
     checked: int = 0
     broken: int = 0
+    unchecked: int = 0
     skipped: int = 0
     resyncs: int = 0
-    payload: bytes = b""
+    payload: bytes | None = None
 
 
 def _syncsafe(data: bytes) -> int:
@@ -107,20 +112,34 @@ def _syncsafe(data: bytes) -> int:
 
 
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
-    """Read a leading tag's text frames; where the audio begins."""
+    """Read a leading tag's text frames, of versions 2.2 to 2.4; where the audio begins."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0
-    end, at, newer = 10 + _syncsafe(data[6:10]), 10, data[3] >= 4
-    while at + 10 <= min(end, len(data)) and data[at] != 0:
-        name = data[at : at + 4].decode("latin-1")
-        size = _syncsafe(data[at + 4 : at + 8]) if newer else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : at + 10 + size]
-        if name[0] == "T" and body:
-            text = body[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace").rstrip("\0")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
-            tags[key] = value
-        at += 10 + size
-    return end + 10 * bool(data[5] & 0x10)
+    version, flags, size = data[3], data[5], _syncsafe(data[6:10])
+    body = data[10 : 10 + size]
+    end = 10 + size + 10 * bool(version >= 4 and flags & 0x10)
+    if version not in (2, 3, 4) or (version == 2 and flags & 0x40):
+        return end  # of another kind, or compressed as a whole
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 0x40 and len(body) >= 4:  # an extended header: its size counts itself from 2.4 on
+        at = _syncsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    wide, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at]:
+        name = body[at : at + wide].decode("latin-1")
+        n = _syncsafe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + wide : at + 2 * wide], "big")
+        value = body[at + head : at + head + n]
+        if version == 4 and body[at + 9] & 0x02:
+            value = value.replace(b"\xff\x00", b"\xff")
+        if version == 4 and body[at + 9] & 0x01:
+            value = value[4:]
+        if name[0] == "T" and value:
+            text = value[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1"), "replace").rstrip("\0")
+            key, _, text = text.partition("\0") if name in ("TXX", "TXXX") else (name, "", text)
+            tags[key] = text
+        at += head + n
+    return end
 
 
 def _id3v1(data: bytes, tags: dict[str, str]) -> int:
@@ -153,7 +172,12 @@ def _vbr_table(frame: bytes, head: Header) -> dict | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Walk the frames; after damage, go on at the next header that another frame, or the end, confirms."""
+    """Walk the frames; after damage, go on at the next header that another frame, or the end, confirms.
+
+    Checksums are verified over what they cover in layers I and III; frames of
+    layer II, whose cover depends on allocation tables, count as unchecked. The
+    payload is read from streams that ``write`` marked, null from others.
+    """
     out = Stream()
     at, end = _id3v2(data, out.tags), _id3v1(data, out.tags)
     stored, lost = [], False
@@ -173,8 +197,10 @@ def parse(data: bytes) -> Stream:
             continue
         lost = False
         frame = data[at : at + head.size]
-        if head.protected and head.layer == 3:
-            if crc16(frame[2:4] + frame[6 : 6 + head.side]) == int.from_bytes(frame[4:6], "big"):
+        if head.protected and head.covered is None:
+            out.unchecked += 1
+        elif head.protected:
+            if crc16(frame[2:4] + frame[6 : 6 + head.covered]) == int.from_bytes(frame[4:6], "big"):
                 out.checked += 1
             else:
                 out.broken += 1
@@ -192,10 +218,12 @@ def parse(data: bytes) -> Stream:
         stored.append(frame[body + 2 : body + 2 + held])
         at += head.size
     out.skipped += max(0, end - at)
-    out.payload = b"".join(stored)
+    if out.tags.pop(_MARK, None) is not None:
+        out.payload = b"".join(stored)
     return out
 
 
+_MARK = "ancillary payload"
 _RATES = _KBPS[(1, 3)]
 _OVERHEAD = 4 + 2 + 17 + 2
 
@@ -226,7 +254,7 @@ def write(payload: bytes, tags: dict[str, str] | None = None) -> bytes:
     toc = bytes(min(255, 256 * (first + starts[len(frames) * i // 100]) // (first + size)) for i in range(100)) if frames else bytes(100)
     xing = _frame(64, b"Xing" + struct.pack(">III", 7, len(frames), first + size) + toc)
     body = b""
-    for key, value in (tags or {}).items():
+    for key, value in {**(tags or {}), _MARK: "1"}.items():
         text = b"\3" + (f"{key}\0{value}" if len(key) != 4 else value).encode()
         n = len(text)
         body += (key if len(key) == 4 else "TXXX").encode() + bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + b"\0\0" + text
@@ -239,10 +267,14 @@ def to_mpeg(docs: DataFrame, unit: int = 64) -> DataFrame:
     """Store every whole text as an MPEG stream.
 
     Reads doc_id and text; other columns are ignored. The payload is the UTF-8
-    text (null: empty) with zero bytes up to a positive multiple of ``unit``.
-    Returns doc_id, n_bytes (of the text) and media (binary). Equal texts give
-    equal streams; an empty table stays empty.
+    text (null: empty) with zero bytes up to a positive multiple of ``unit``,
+    which is 1 at least. Returns doc_id, n_bytes (of the text) and media
+    (binary), 2.7 % larger than the payload for long texts: texts from about
+    2,080,000,000 bytes on do not fit the two gigabytes of a value and fail.
+    Equal texts give equal streams; an empty table stays empty.
     """
+    if unit < 1:
+        raise ValueError("unit is 1 or more")
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +288,19 @@ def to_mpeg(docs: DataFrame, unit: int = 64) -> DataFrame:
 
 _READ = (
     "doc_id long, n_bytes long, media binary, payload binary, version double, layer int, hertz int, channels int, n_frames long, n_samples long, "
-    "seconds double, crc_good long, crc_bad long, resyncs long, skipped long, table_kind string, table_frames long, seek array<long>, kbps array<int>, tags map<string,string>"
+    "seconds double, crc_good long, crc_bad long, crc_unchecked long, resyncs long, skipped long, table_kind string, table_frames long, seek array<long>, kbps array<int>, tags map<string,string>"
 )
 
 
 def read_mpeg(media: DataFrame) -> DataFrame:
     """Parse a media column: one row for each of ``media(doc_id, n_bytes, media)``.
 
-    Adds the ancillary payload, the exact duration (n_samples over hertz), the
-    byte offset of every frame, checksum counts, what resynchronisation
-    skipped, the variable-bitrate table and the tags. Null media reads as an
-    empty stream: no frames, null version, layer, hertz and channels.
+    Adds the ancillary payload (null for streams of other makers), the exact
+    duration (n_samples over hertz), the byte offset of every frame, checksum
+    counts, what resynchronisation skipped, the variable-bitrate table and the
+    tags. Null media reads as an empty stream: no frames, null payload, version,
+    layer, hertz and channels. A null n_bytes stays null; other columns are
+    ignored; an empty table stays empty.
     """
     bounded_batches(media.sparkSession)
 
@@ -278,7 +312,7 @@ def read_mpeg(media: DataFrame) -> DataFrame:
                 h, t = s.first, s.table or {}
                 rows.append(
                     (doc_id, n_bytes, data, s.payload, h and float(h.version), h and h.layer, h and h.hertz, h and h.channels, len(s.offsets), s.samples, s.samples / h.hertz if h else 0.0,
-                     s.checked, s.broken, s.resyncs, s.skipped, t.get("kind"), t.get("frames"), s.offsets, sorted(s.kbps), list(s.tags.items()))
+                     s.checked, s.broken, s.unchecked, s.resyncs, s.skipped, t.get("kind"), t.get("frames"), s.offsets, sorted(s.kbps), list(s.tags.items()))
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _read_schema, strict=True)], schema=_read_schema)
 
@@ -287,6 +321,6 @@ def read_mpeg(media: DataFrame) -> DataFrame:
 
 _read_schema = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("version", pa.float64()), ("layer", pa.int32()), ("hertz", pa.int32()), ("channels", pa.int32()),
-     ("n_frames", pa.int64()), ("n_samples", pa.int64()), ("seconds", pa.float64()), ("crc_good", pa.int64()), ("crc_bad", pa.int64()), ("resyncs", pa.int64()), ("skipped", pa.int64()),
+     ("n_frames", pa.int64()), ("n_samples", pa.int64()), ("seconds", pa.float64()), ("crc_good", pa.int64()), ("crc_bad", pa.int64()), ("crc_unchecked", pa.int64()), ("resyncs", pa.int64()), ("skipped", pa.int64()),
      ("table_kind", pa.string()), ("table_frames", pa.int64()), ("seek", pa.list_(pa.int64())), ("kbps", pa.list_(pa.int32())), ("tags", pa.map_(pa.string(), pa.string()))]
 )

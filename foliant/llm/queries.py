@@ -48,6 +48,8 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
+        "seconds",
+        F.col("seek").alias("seek_offsets"),
     )
 
 
