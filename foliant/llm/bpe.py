@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +29,9 @@ from .store import bounded_batches, frugal
 
 # The characters with Unicode's White_Space property.
 _WHITE = "\t-\r \x85\xa0  -     　"
-#: No match of the splitting pattern holds a white character after another one,
-#: so texts may be cut before any white character that follows a different one.
+#: No match of public_tokenizers.PATTERN holds a white character after another one,
+#: so for it texts may be cut before any white character that follows a different one.
+#: Under another pattern every text is one chunk.
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _CACHED = 250_000
 _CACHED_CHARS = 64
@@ -49,7 +51,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pattern = regex.compile(pattern)
+        self.pattern, self._cuts = regex.compile(pattern), pattern == public_tokenizers.PATTERN
         self.sizes = [0] * (max(self.tokens) + 1)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
@@ -125,7 +127,9 @@ class Encoder:
         if whole is not None:
             return [whole]
         text, pairs = piece.decode("latin-1"), self._pairs
-        found = [rank for _, rank in self.automaton.iter_long(text)]
+        found, sizes = [rank for _, rank in self.automaton.iter_long(text)], self.sizes
+        if sum([sizes[t] for t in found]) < len(text):
+            raise ValueError("the vocabulary lacks a byte of the text")
         last = found[0]
         for i in range(1, len(found)):
             token = found[i]
@@ -182,6 +186,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
+        if not self._cuts:
+            return self._chunk(text)
         chunks, known = _CHUNK.findall(text), self._chunks
         try:
             return b"".join(map(known.__getitem__, chunks))
@@ -217,8 +223,10 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True) ->
 
     Reads doc_id and text; other columns are ignored. Returns doc_id, ids
     (binary, little-endian unsigned 32-bit) and, with ``decode``, decoded
-    (binary UTF-8). A null or empty text has no ids; rows may repeat; an empty
-    table stays empty. The vocabulary file is read by the driver and broadcast;
+    (binary UTF-8), compared with the text: a difference is an error. A null or
+    empty text has no ids; a text may have as many as fit two gigabytes; rows
+    may repeat; an empty table stays empty. A byte that the vocabulary lacks is
+    an error. The vocabulary file is read by the driver and broadcast;
     it must be under 64 MB.
     """
     if os.path.getsize(vocabulary) > _LARGEST_VOCABULARY:
@@ -230,10 +238,14 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(data.value, pattern)
         for batch in batches:
-            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = [own.encode(t) for t in texts]
             columns = [batch.column(0), pa.array(ids, pa.binary())]
             if decode:
-                columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                back = [own.decode(x) for x in ids]
+                if any(x != t.encode() for x, t in zip(back, texts, strict=True)):
+                    raise ValueError("token ids do not decode to their text")
+                columns.append(pa.array(back, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     schema = "doc_id long, ids binary" + ", decoded binary" * decode

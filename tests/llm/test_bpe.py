@@ -47,3 +47,27 @@ def test_table(spark, both):
         assert ids(r["ids"]) == both[1].encode_ordinary(text or "")
         assert hashlib.sha256(r["decoded"]).digest() == hashlib.sha256((text or "").encode()).digest()
     assert bpe(documents(spark, []), PATH, P.PATTERN).collect() == []
+
+
+def test_other_patterns_and_missing_bytes(both):
+    pattern = r"\p{L}+\s*\p{L}*|\s+\S|."
+    own = Encoder(both[0].ranks, pattern)
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=both[0].ranks, special_tokens={})
+    for text in ("one two  three", "a \n b", "  x", "ab\u3000 cd ef"):
+        assert ids(own.encode(text)) == other.encode_ordinary(text)
+    lacking = Encoder({t: r for t, r in both[0].ranks.items() if b"q" not in t}, P.PATTERN)
+    for text in ("q", "aqua", "unique things", "qqqq"):
+        with pytest.raises(ValueError):
+            lacking.encode(text)
+
+
+def test_the_query(spark, both, tmp_path):
+    from foliant.llm import queries
+
+    rows = [(1, "Hello  world"), (2, None), (3, ""), (4, "wörter\n\n und mehr " * 2_000), (None, "x")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_byte_bpe"](spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        want = both[1].encode_ordinary(text or "")
+        assert got[i]["n_tokens"] == len(want) and got[i]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
