@@ -87,12 +87,16 @@ def train(rows: list[tuple[str, int]], counts: dict) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
-    """Train on at most ``per_class`` documents of each class of ``labels(doc_id, label)``, texts up to 64 KB."""
+    """Train on at most ``per_class`` documents of each class of ``labels(doc_id, label)``, see ``labelled_sample``."""
     return train(*labelled_sample(docs, labels, per_class))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted of every whole text; a null or empty text has no difference and scores by the constant."""
+    """doc_id, score and predicted of every whole text; a null or empty text has no difference and scores by the constant.
+
+    Reads doc_id and text; other columns are ignored. Rows with equal texts
+    score alike; an empty table stays empty.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast((model.good, model.bad, model.line))

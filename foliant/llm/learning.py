@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,16 +12,19 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(-1)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 65_536) -> tuple[list[tuple[str, object]], dict]:
-    """(text, label) of at most ``per_class`` documents of each class, and all class counts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, total_bytes: int = 24 << 20) -> tuple[list[tuple[str, object]], dict]:
+    """(text, label) of at most ``per_class`` documents of each class, and how many documents each class has.
 
-    ``labels(doc_id, label)``; rows without a label are left out, and so are
-    texts over ``most_bytes`` as training rows. Documents are taken in order of
-    a hash of their id. Only ids pass through the driver before the texts of
-    the chosen ones are read by a broadcast of those ids, which number
-    ``per_class`` times the classes at most.
+    ``labels(doc_id, label)``; rows without an id or a label are left out, so
+    are documents without a text. Documents are taken in order of a hash of
+    their id, as whole texts of whatever length, until their class has spent
+    its equal share of ``total_bytes``; the text that passes it is still taken.
+    An id with several labels counts for each of them, one with several texts
+    by its least text. Only ids pass through the driver before the texts of the
+    chosen ones are read by a broadcast of those ids, which number ``per_class``
+    times the classes at most.
     """
-    named = labels.filter("doc_id is not null and label is not null").select("doc_id", "label")
+    named = labels.filter("doc_id is not null and label is not null").select("doc_id", "label").distinct()
     counts = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], {}
@@ -30,14 +33,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, m
     drawn: dict = {}
     for r in named.withColumn("draw", draw).filter(F.col("draw") < share).collect():
         drawn.setdefault(r["label"], []).append((r["draw"], r["doc_id"]))
-    chosen = [(i, k) for k, rows in drawn.items() for _, i in sorted(set(rows))[:per_class]]
+    chosen = [(i, k, x) for k, rows in drawn.items() for x, i in sorted(set(rows))[:per_class]]
     if not chosen:
         return [], counts
     kind = dict(named.dtypes)
-    ids = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind['doc_id']}, _label {kind['label']}")
-    rows = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    found = {(r["doc_id"], r["_label"]): r["text"] for r in rows.collect()}
-    return [(text, label) for (_, label), text in sorted(found.items(), key=lambda x: (str(x[0][1]), x[0][0]))], counts
+    ids = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind['doc_id']}, _label {kind['label']}, _draw double")
+    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label", "_draw").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("_label").orderBy("_draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    taken = texts.withColumn("_spent", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).filter(F.col("_spent") < total_bytes // len(counts))
+    found = sorted(((r["_label"], r["doc_id"], r["text"]) for r in taken.collect()), key=lambda x: (str(x[0]), x[1]))
+    return [(text, label) for label, _, text in found], counts
 
 
 def fit_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

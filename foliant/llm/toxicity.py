@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,8 @@ from .store import bounded_batches, frugal
 BUCKETS = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 _CACHED_WORDS = 150_000
-_LONGEST_WORD = 64
+_CACHED_CHARS = 64
+_WINDOW = 1 << 18
 
 
 def grams(words: list[str], low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -30,25 +32,37 @@ def grams(words: list[str], low: int = 3, high: int = 5) -> tuple[np.ndarray, np
         m = len(marks) - n + 1
         if m <= 0:
             break
-        value = np.full(m, n, np.uint64)
-        for j in range(n):
-            value = (value ^ marks[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(29)
         inside = word_of[:m] == word_of[n - 1 :]
         owners.append(word_of[:m][inside])
-        buckets.append((value[inside] & np.uint64(BUCKETS - 1)).astype(np.int64))
+        buckets.append(_buckets(marks, n)[inside])
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(buckets)
 
 
+def _buckets(marks: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram at every place."""
+    m = max(0, len(marks) - n + 1)
+    value = np.full(m, n, np.uint64)
+    for j in range(n):
+        value = (value ^ marks[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return (value & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _long_word(word: str, weights: np.ndarray, low: int = 3, high: int = 5) -> float:
+    """The weight of a word of whatever length, window by window."""
+    marked, total = f"^{word}$", 0.0
+    for n in range(low, high + 1):
+        for at in range(0, len(marked) - n + 1, _WINDOW):
+            part = marked[at : at + _WINDOW + n - 1]
+            total += float(weights[_buckets(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), n)].sum(dtype=np.float64))
+    return total
+
+
 def words(text: str) -> set[str]:
-    found = set(_WORD.findall(text.lower()))
-    long = {w for w in found if len(w) > _LONGEST_WORD}
-    for w in long:
-        found.discard(w)
-        found.update(w[i : i + _LONGEST_WORD] for i in range(0, len(w), _LONGEST_WORD))
-    return found
+    """The distinct runs of letters and digits, lower case, whole."""
+    return set(_WORD.findall(text.lower()))
 
 
 @dataclass
@@ -62,16 +76,19 @@ class Model:
         self._known: dict[str, float] = {}
 
     def scores(self, texts: list[str]) -> list[float]:
-        """Scores of whole texts; each distinct word is weighed once for the batch and remembered."""
+        """Scores of whole texts; each distinct word is weighed once for the batch and, up to 64 characters, remembered."""
         own, known = [words(t) for t in texts], self._known
         if len(known) >= _CACHED_WORDS:
             known.clear()
         fresh = list(set().union(*own).difference(known)) if own else []
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
+        short = [w for w in fresh if len(w) <= _CACHED_CHARS]
+        for at in range(0, len(short), 20_000):
+            some = short[at : at + 20_000]
             owner, bucket = grams(some)
             known.update(zip(some, np.bincount(owner, weights=self.weights[bucket], minlength=len(some)).tolist(), strict=True))
-        return [float(sigmoid(self.bias + sum(map(known.__getitem__, w)))) for w in own]
+        long = {w: _long_word(w, self.weights) for w in fresh if len(w) > _CACHED_CHARS}
+        weight = lambda w: known[w] if w in known else long[w]
+        return [float(sigmoid(self.bias + math.fsum(map(weight, w)))) for w in own]
 
 
 def train(rows: list[tuple[str, int]], counts: dict, smoothing: float = 1.0, ridge: float = 1e-3, steps: int = 120) -> Model:
@@ -123,7 +140,12 @@ def train(rows: list[tuple[str, int]], counts: dict, smoothing: float = 1.0, rid
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score and predicted of every whole text; null counts as empty, which scores by the constant alone."""
+    """doc_id, score and predicted of every whole text; null counts as empty, which scores by the constant alone.
+
+    Reads doc_id and text; other columns are ignored. Words count whole,
+    whatever their length; rows with equal texts score alike; an empty table
+    stays empty.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     sent = spark.sparkContext.broadcast((model.weights, model.bias))
@@ -138,7 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
-    """Train on at most ``per_class`` documents of each class of ``labels(doc_id, label)``, texts up to 64 KB."""
+    """Train on at most ``per_class`` documents of each class of ``labels(doc_id, label)``, see ``labelled_sample``."""
     return train(*labelled_sample(docs, labels, per_class))
 
 
@@ -146,7 +168,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``, all columns unchanged.
 
     Batches are filtered as they stream through the worker, so no join by id is
-    needed and repeated or missing ids do no harm.
+    needed and repeated or missing ids do no harm. A null text scores as an
+    empty one; an empty table stays empty.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
