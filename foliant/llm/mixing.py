@@ -76,5 +76,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as ``mixture`` takes it, columns unchanged."""
+    if "mix" in docs.columns:
+        return emit(docs.withColumnRenamed("mix", "_own_mix"), **options).withColumnRenamed("_own_mix", "mix")
     mixed = mixture(docs, **options)
     return mixed.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(mix.copies as int))"))).select(*docs.columns)
