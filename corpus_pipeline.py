@@ -1,7 +1,10 @@
 """A training corpus in five stages: toxicity, line dedup, near duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; all but the last return the columns of ``docs``.
+kept; all but the last return the columns of ``docs``. What a stage does with
+nulls, repeated rows and long texts is said at each. Columns besides doc_id,
+text, source and n_chars pass through whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,32 +25,49 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.7; learned from two of three folds of the labels."""
+    """Documents that score under 0.7; learned from two of three folds of the labels.
+
+    Null and empty texts score by the constant alone, rows are judged each by
+    its own text, whatever their ids, and whole, whatever its length.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold("doc_id", 3) != 1)
     model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
     return toxicity.keep(docs, model, threshold=0.7)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that stand on ten sites or more, save their first occurrence; empty lines stay."""
+    """Every document, without the lines that stand on ten sites or more, save their first occurrence; empty lines stay.
+
+    Null texts stay null, repeated rows are treated alike, a null source is a
+    site of its own.
+    """
     return drop_boilerplate(docs, least_chars=1)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Rows are compared by text, whatever their ids; the smallest doc_id stays.
+    Rows are compared by their whole texts, whatever their ids: the smallest
+    doc_id of a group stays, null ids last, and one of repeated rows. Null and
+    wordless texts all stay.
     """
     return one_of_each(docs, k=5, num=4, den=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks."""
+    """Each document as often as its source's target weight asks.
+
+    A row's copies hang on its doc_id, so repeated rows are copied alike; a null
+    text has no words; null is a source of its own.
+    """
     return emit(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids of every copy, checked against the text they decode to."""
+    """doc_id, n_tokens, the token ids and hashes of every copy; ids that do not decode to their text are an error.
+
+    A null text has no tokens; a repeated row comes as often as it stands there.
+    """
     coded = bpe(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
