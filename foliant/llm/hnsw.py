@@ -15,12 +15,22 @@ GROUP = 0.999
 _BATCH = 1024
 
 
+def unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision, whatever their magnitude."""
+    own = raw.astype(np.float64)
+    own /= np.abs(own).max(axis=1, keepdims=True)
+    return own / np.linalg.norm(own, axis=1, keepdims=True)
+
+
 class Index:
-    """Groups of unit vectors and a layered graph over their leaders."""
+    """Groups of vectors, taken at length 1, and a layered graph over their leaders."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, links: int = 24, ef: int = 48, seed: int = 7):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, links: int = 24, ef: int = 48, seed: int = 7):
+        with np.errstate(over="ignore"):
+            single = raw.astype(np.float32)
+        self.ids, self.raw, self.vectors = ids, single if (single == raw).all() else raw, unit(raw)
         self.links = links
+        vectors = self.vectors
         n = len(ids)
         self.group = np.full(n, -1, np.int64)  # of each vector, an index into leaders
         self.leaders = np.zeros(0, np.int64)  # rows of vectors
@@ -184,19 +194,25 @@ class Index:
             left, ef = left[~enough], 2 * ef
         return out
 
-    def dump(self) -> bytes:
+    def dump(self, graph: bool = True) -> bytes:
+        """Bytes for ``load``; without the graph it can be asked, but not searched."""
         file = io.BytesIO()
-        levels = {f"nodes{i}": x[0] for i, x in enumerate(self.upper)} | {f"near{i}": x[1] for i, x in enumerate(self.upper)}
-        np.savez(file, ids=self.ids, vectors=self.vectors, group=self.group, leaders=self.leaders, near=self.near, level=self.level, links=self.links, **levels)
+        parts = {"ids": self.ids, "raw": self.raw, "group": self.group, "leaders": self.leaders}
+        if graph:
+            parts |= {"near": self.near, "level": self.level, "links": np.array(self.links)}
+            parts |= {f"nodes{i}": x[0] for i, x in enumerate(self.upper)} | {f"near{i}": x[1] for i, x in enumerate(self.upper)}
+        np.savez(file, **parts)
         return file.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Index:
         own = cls.__new__(cls)
         with np.load(io.BytesIO(data)) as x:
-            own.ids, own.vectors, own.group, own.leaders, own.near, own.level, own.links = (x[k] for k in ("ids", "vectors", "group", "leaders", "near", "level", "links"))
-            own.upper = [(x[f"nodes{i}"], x[f"near{i}"]) for i in range(sum(k.startswith("nodes") for k in x.files))]
-        own.links = int(own.links)
+            own.ids, own.raw, own.group, own.leaders = (x[k] for k in ("ids", "raw", "group", "leaders"))
+            if "near" in x.files:
+                own.near, own.level, own.links = x["near"], x["level"], int(x["links"])
+                own.upper = [(x[f"nodes{i}"], x[f"near{i}"]) for i in range(sum(k.startswith("nodes") for k in x.files))]
+        own.vectors = unit(own.raw)
         own.flat = own.vectors[own.leaders].astype(np.float32)
         own._members()
         return own

@@ -68,3 +68,37 @@ def test_components(spark):
     assert [got[i] for i in (1, 2, 3, 4, 8, 9, 21)] == [1, 1, 1, 1, 8, 8, 20] and 5 not in got
     assert {got[i] for i in range(100, 150)} == {100} and {got[i] for i in range(300, 341)} == {300}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_different_vectors_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = rng.normal(size=(3, 12))
+    near = lambda v: (v + 0.01 * rng.normal(size=12)).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (1, near(a)), (2, near(a)), (3, near(b)), (4, near(b)), (5, c.tolist()), (200, (1e200 * c).tolist()), (6, (1e-200 * c).tolist())]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["recall"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shards=2).collect())
+    assert got == [(1, 4, 1, 1.0)] * 3 + [(2, 2, 1, 1.0), (3, 2, 1, 1.0), (4, 2, 1, 1.0), (5, 2, 5, 1.0), (6, 2, 5, 1.0), (200, 2, 5, 1.0)]
+
+
+def test_links_that_leave_a_task_only_connect():
+    from foliant.llm.neardup import link_shards
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(400, 16))
+    one, two = Index(np.arange(0, 400, 2), v[::2]), Index(np.arange(1, 400, 2), v[1::2])
+    links, hit, every = link_shards(one, two, 0.9, False)
+    assert hit == every > 0 and len(links.edges) <= 399 and links.counts[0].sum() == 200 * 200
+    links, hit, every = link_shards(one, one, 0.9, True)
+    assert hit == every > 0 and len(links.edges) == 199 and links.counts[0].tolist() == [199] * 200
+
+
+def test_the_query(spark, tmp_path):
+    from foliant.llm import queries
+
+    vectors = cloud(3)
+    ids = list(range(len(vectors)))
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<float>, label int")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    stored = np.array([r["embedding"] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").collect()])
+    links, label = brute(ids, stored, 0.9)
+    got = queries.QUERIES["op10_hnsw_near_duplicates"](spark, str(tmp_path)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(i, int(links[i]), label[i], label[i] == i) for i in ids]
