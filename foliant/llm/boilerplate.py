@@ -52,7 +52,8 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", sites: int = 10, lea
     table stays empty. A line's identity is a 64-bit hash.
 
     Only line hashes and sites are shuffled for the spread. The boilerplate
-    lines are broadcast while they are at most 200,000, counted first.
+    lines are broadcast while they are at most 200,000, counted first; texts are
+    shuffled once to meet what they lose.
     """
     found = spread(docs, site, sites, least_chars)
     marked = F.broadcast(found) if found.count() <= _BROADCAST_LINES else found
@@ -62,13 +63,15 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", sites: int = 10, lea
     rows = docs.select(*columns).withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_sum", F.crc32(F.col("text").cast("binary")))
     rows = rows.join(lost, ["_row", "_sum"], "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_lost", i)), "\n")
     hit = F.col("_lost").isNotNull()
-    new = {"text": F.when(hit, kept).otherwise(F.col("text"))}
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lost")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    rows = rows.withColumn("_count", F.size(lines)).withColumn("_kept", F.when(hit, kept))  # apart from the new text: inside a lambda, its name would mean the new one
+    new = {"text": F.when(hit, F.col("_kept")).otherwise(F.col("text"))}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(hit, F.length(kept)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+        new["n_chars"] = F.when(hit, F.length("_kept")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
     out = [new[c].alias(c) if c in new else F.col(c) for c in columns]
     if report:
-        counts = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"), F.when(hit, F.size("_lost")).otherwise(0).cast("long").alias("removed"))
+        counts = F.struct(F.coalesce("_count", F.lit(0)).cast("long").alias("lines"), F.when(hit, F.size("_lost")).otherwise(0).cast("long").alias("removed"))
         out.append(F.when(F.col("text").isNotNull(), counts).otherwise(F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("removed"))).alias(report))
     return rows.select(*out)
