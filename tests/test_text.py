@@ -51,6 +51,19 @@ def test_markdown():
     assert "## A" in out and "**b *c***" in out and "5%" in out and "gone" not in out and "note" not in out
     assert "- p\n- q" in out and "\\[\ne\n\\]" in out and '<table border="1"><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>' in out
     assert markdown.unwrap(r"\textbf{open", r"\textbf", lambda s: s) == "open" and markdown.to_markdown("") == ""
+    assert markdown.unwrap(r"\x{a\x{b}} \xy{c}", r"\x", lambda s: f"<{s}>") == r"<a<b>> \xy{c}"
+
+
+def test_markdown_commands():
+    show = markdown.to_markdown
+    page = "\\noindent\\hfill\\includegraphics[height=1.8em]{x}\\par\\noindent\\hrule\\vspace{4pt}\n\\begin{paracol}{2}\n\\RaggedRight\nA\n\\switchcolumn\n\\RaggedRight\nB\n\\end{paracol}"
+    assert show(page.replace("\\\\", "\\")) == "A\n\nB"
+    assert show("\\begin{center}\n\\textbf{\\large A {b} title}\n\\end{center}") == "# A {b} title"
+    assert show("\\begin{center}\\resizebox{\\columnwidth}{!}{a & b \\\\ c & d}\\end{center}") == '<table border="1"><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>'
+    assert show("\\textcolor{red}{z} \\frac{a}{b} \\textasciitilde{} \\[x\\] a\\\\b") == "red{z} \\frac{a}{b} ~ \\[x\\] a\nb"
+    assert show("\\begin{itemize}\\item a\\begin{itemize}\\item b\\end{itemize}\\item c\\end{itemize}") == "- a\n- b\n- c"
+    assert show("\\begin{tabular}{l}a \\& b & \\multicolumn{2}{c}{X} \\\\ $y_1$ & 5\\%\\end{tabular}") == '<table border="1"><tr><td>a \\</td><td>b</td><td>2cX</td></tr><tr><td>y_1</td><td>5%</td></tr></table>'
+    assert show("\\section*{One} x\\par y \\includegraphics[w]{f} \\label{l} \\unknown{k}") == "# One\n x\n\n y   \\unknown{k}"
 
 
 def test_document(spark):
