@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 import pandas as pd
@@ -132,17 +133,25 @@ def labels(ids: Column, pad: int = 1) -> Column:
     return F.transform(moved, lambda x: F.when(x == pad, F.lit(-100)).otherwise(x))
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's shared folder; where none is set (tests), in a temporary one."""
+    spark = frame.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foliant-"))
+    return frame.checkpoint()
+
+
 def kept_merges(merges: DataFrame, keep: DataFrame) -> DataFrame:
     """Merges (left, right, merged) needed for the tokens in ``keep``, parts of parts included, to a fixpoint.
 
     The frontier shrinks with every level and is at most the merge depth long;
-    each level is one join on the merged token.
+    each level is one join on the merged token, whose lineage is cut.
     """
     found = merges.join(keep.select(F.col("token").alias("merged")).distinct(), "merged", "left_semi")
     total = found.count()
     while True:
         parts = found.select(F.explode(F.array("left", "right")).alias("merged")).union(found.select("merged")).distinct()
-        found = merges.join(parts, "merged", "left_semi")
+        found = settled(merges.join(parts, "merged", "left_semi"))
         grown = found.count()
         if grown == total:
             return found
@@ -161,3 +170,40 @@ def length_batches(rows: DataFrame, length: str, batch: int, seed: int = 0) -> D
     spread = rows.repartitionByRange(F.col(length)).sortWithinPartitions(length)
     part = F.spark_partition_id()
     return spread.withColumn("_n", F.monotonically_increasing_id()).withColumn("batch", F.xxhash64(part, F.floor(F.col("_n") / batch), F.lit(seed))).drop("_n")
+
+
+def keep_set(listed: DataFrame, vocabulary: DataFrame, specials: DataFrame, added: DataFrame, alphabet: int = 0) -> DataFrame:
+    """(token, old_id) that a reduced vocabulary keeps: listed tokens that it has, specials and its first ``alphabet`` ids, without added tokens, specials again."""
+    known = vocabulary.join(listed.select("token").distinct(), "token", "left_semi").unionByName(vocabulary.filter(F.col("old_id") < alphabet))
+    own = vocabulary.join(specials.select("token").distinct(), "token", "left_semi")
+    return known.join(added.select("token"), "token", "left_anti").unionByName(own).distinct()
+
+
+def unused_ids(used: DataFrame, size: int = 50_000) -> DataFrame:
+    """(id,) of 0 to ``size`` - 1 that stand in no row of used(id)."""
+    return used.sparkSession.range(size).join(used.select("id").distinct(), "id", "left_anti")
+
+
+def without_unknown(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
+    """Rows none of whose tokens the vocabulary lacks."""
+    keyed = rows.withColumn("_row", F.struct(*rows.columns))
+    bad = keyed.select("_row", F.explode(tokens).alias("token")).join(vocabulary.select("token").distinct(), "token", "left_anti").select("_row").distinct()
+    return keyed.join(bad, "_row", "left_anti").drop("_row")
+
+
+def remapped(ids: DataFrame, mapping: DataFrame) -> DataFrame:
+    """ids(key, pos, old_id) with new_id from mapping(old_id, new_id); null where there is none."""
+    return ids.join(mapping.select("old_id", "new_id"), "old_id", "left")
+
+
+def verified(ids: DataFrame, retokenised: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(key, same): whether a line's new ids are its old ones, mapped, place by place."""
+    mapped = remapped(ids, mapping)
+    both = mapped.join(retokenised.select("key", "pos", F.col("new_id").alias("own")), ["key", "pos"], "full")
+    return both.groupBy("key").agg(F.bool_and(F.coalesce(F.col("new_id") == F.col("own"), F.lit(False))).alias("same"))
+
+
+def normalised(text: Column, symbols: Column, commands: dict[str, str], expressions: list[tuple[str, str]]) -> Column:
+    """Tokens of a formula after all rewriting steps that work on expressions: environments, expressions, spacings, then tokens split, mapped and parted."""
+    whole = without_spacing(replace_all(modern_env(text, commands), expressions))
+    return split_left_right(substitute(split_commands(whole), symbols))

@@ -91,3 +91,39 @@ def quad_area(points: Column) -> Column:
     n = F.size(points)
     turns = F.transform(F.sequence(F.lit(0), n - 1), lambda i: points[i]["x"] * points[(i + 1) % n]["y"] - points[(i + 1) % n]["x"] * points[i]["y"])
     return F.abs(F.aggregate(turns, F.lit(0.0), lambda a, x: a + x)) / 2
+
+
+def corners(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
+    """A box from its centre and extent."""
+    return [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2]
+
+
+def crop_box(b: tuple[Column, ...], width: float, height: float) -> list[Column]:
+    """Whole pixels of a crop, within the page."""
+    low, right, bottom = F.lit(0.0), F.lit(float(width)), F.lit(float(height))
+    return [F.greatest(low, b[0]).cast("int"), F.greatest(low, b[1]).cast("int"), F.least(right, b[2]).cast("int"), F.least(bottom, b[3]).cast("int")]
+
+
+def valid_quad(points: Column, width: float, height: float, least: float = 0.15) -> Column:
+    """Whether four corners cover at least 15 % of the page."""
+    return (F.size(points) == 4) & (quad_area(points) >= least * width * height)
+
+
+def corner_order(points: Column) -> Column:
+    """Corners of struct(x, y) from the top left on: least sum, least difference y - x, largest sum, largest difference."""
+    by = lambda key, sign: F.element_at(F.array_sort(F.transform(points, lambda p, i: F.struct((sign * key(p)).alias("k"), i.alias("i"), p.alias("p")))), 1)["p"]
+    total, lean = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
+    return F.array(by(total, 1), by(lean, 1), by(total, -1), by(lean, -1))
+
+
+def line_crossing(rho1: Column, theta1: Column, rho2: Column, theta2: Column) -> tuple[Column, Column]:
+    """Where two lines in polar form meet; null for parallel ones."""
+    det = F.cos(theta1) * F.sin(theta2) - F.sin(theta1) * F.cos(theta2)
+    apart = F.abs(det) >= 1e-6
+    return F.when(apart, (F.sin(theta2) * rho1 - F.sin(theta1) * rho2) / det), F.when(apart, (F.cos(theta1) * rho2 - F.cos(theta2) * rho1) / det)
+
+
+def scaled_box(b: tuple[Column, ...], sx: Column, sy: Column, pad: float, width: Column, height: Column) -> list[Column]:
+    """A box moved to another resolution, padded and clamped."""
+    low = F.lit(0.0)
+    return [F.greatest(low, b[0] * sx - pad), F.greatest(low, b[1] * sy - pad), F.least(width, b[2] * sx + pad), F.least(height, b[3] * sy + pad)]

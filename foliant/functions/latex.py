@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import strip_delimiters
 from .text import bullet_items, clean_ocr, rewrite, section_headers, strip
 
 # What a document begins and ends with.
@@ -20,7 +21,9 @@ CLOSING = "\n\\end{document}\n"
 # Repetitions that mark a formula reading as broken.
 BROKEN = (r"(\\hline\s*){5,}", r"(\\cdot\s*){8,}", r"(\\quad\s*){8,}", r"(&\s*\{\s*\}\s*){5,}", r"\\mathrm\s*\{[^}]*(~\s*){5,}")
 MOST_TILDES = 10
-LOOPS = ((r"(~\s*){10,}", "~ "), (r"(\\!\s*){10,}", r"\\! "), (r"(\\qquad\s*){5,}", r"\\qquad "))
+LOOPS = ((r"(~\s*){10,}", "~ "), (r"(\\![\s\\!]*){10,}", r"\\! "), (r"(\\q?quad\s*){5,}", r"\\qquad "))
+# Names of arrows that are written out.
+ARROWS = ((r"\\[Rr]arr\b", r"\\rightarrow"), (r"\\[Ll]arr\b", r"\\leftarrow"), (r"\\[Uu]arr\b", r"\\uparrow"), (r"\\[Dd]arr\b", r"\\downarrow"))
 
 
 def _around(before: str, content: Column, after: str) -> Column:
@@ -33,6 +36,7 @@ def template(class_name: Column, content: Column) -> Column:
     headings = F.concat(F.array_join(F.transform(section_headers(content), lambda p: _around("\n\\subsection*{", clean_ocr(p), "}")), "\n"), F.lit("\n"))
     items = F.array_join(F.transform(bullet_items(content), lambda p: _around("\\item ", clean_ocr(p), "\n")), "\n")
     figure = (content == "") | content.startswith("\\includegraphics")
+    # fixed values: the text around each class's content
     return (
         F.when(class_name == "Title", _around("\n\\begin{center}\n\\textbf{\\large ", cleaned, "}\n\\end{center}\n"))
         .when(class_name == "Section-header", headings)
@@ -55,8 +59,8 @@ def count_of(text: Column, literal: str) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    """Collapse loops, then balance braces, arrays and left delimiters."""
-    out = rewrite(text, LOOPS)
+    """Write arrows out, collapse loops, then balance braces, arrays and left delimiters."""
+    out = rewrite(text, ARROWS + LOOPS)
     missing = count_of(out, "{") - count_of(out, "}")
     # surplus closing braces: the last ones go
     surplus = F.greatest(F.lit(0), -missing)
@@ -84,8 +88,8 @@ def fragments(regions: DataFrame, content: str = "content", order: str = "readin
     from pyspark.sql import Window
 
     kept = regions.filter(~((F.col("class_name") == "Table") & (F.coalesce(content, F.lit("")) == "")))
-    nth = F.sum((F.col("class_name") == "Picture").cast("int")).over(Window.partitionBy("page_id").orderBy("zone", order))
-    shown = F.when(F.col("class_name") == "Picture", F.format_string("figures/figure_%03d.png", nth)).otherwise(F.coalesce(content, F.lit("")))
+    nth = F.sum((F.col("class_name") == "Picture").cast("int")).over(Window.partitionBy("page_id").orderBy(F.array_position(F.array(F.lit("full"), F.lit("left"), F.lit("right")), F.col("zone")), order))
+    shown = F.when(F.col("class_name") == "Picture", F.format_string("assets/figures/figure_%03d.png", nth)).otherwise(F.coalesce(content, F.lit("")))
     return kept.select("page_id", "zone", F.col(order).alias("ord"), "class_name", template(F.col("class_name"), shown).alias("latex"), (F.col("class_name") == "List-item").alias("is_list_item"))
 
 
@@ -99,12 +103,57 @@ def bodies(parts: DataFrame) -> DataFrame:
     return gathered.select("page_id", "zone", F.array_join(F.transform("rows", lambda r: r["latex"]), "\n").alias("body"))
 
 
-def documents(parts: DataFrame, cjk: Column | None = None, logo: Column | None = None) -> DataFrame:
-    """(page_id, tex): one document a page, in two columns where boxes lie left or right of the middle."""
+def page_documents(regions: DataFrame, content: str = "content", cjk: Column | None = None) -> DataFrame:
+    """(page_id, tex) of regions placed by ``layout.group_order``: (page_id, columns, grp, place, class_name, content).
+
+    Groups follow each other, figures and lists run on; only pages of two
+    columns set their groups 1 and 2 side by side.
+    """
+    zone = F.when(F.col("columns") == 2, F.element_at(F.array(F.lit("full"), F.lit("left"), F.lit("right")), (F.col("grp") + 1).cast("int"))).otherwise("full")
+    order = F.col("grp") * 1_000_000 + F.col("place")
+    parts = fragments(regions.withColumn("zone", zone).withColumn("_order", order), content, "_order")
+    return documents(parts, cjk, pages=regions.groupBy("page_id").agg(F.max("columns").alias("columns")))
+
+
+def documents(parts: DataFrame, cjk: Column | None = None, logo: Column | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(page_id, tex): one document a page, in two columns where boxes lie left and right of the middle, or as ``pages(page_id, columns)`` says."""
     body = bodies(parts).groupBy("page_id").agg(*[F.coalesce(F.max(F.when(F.col("zone") == z, F.col("body"))), F.lit("")).alias(z) for z in ("full", "left", "right")])
     two = (F.col("left") != "") & (F.col("right") != "")
+    if pages is not None:
+        body = pages.join(body, "page_id", "left").na.fill("", ["full", "left", "right"])
+        two = F.col("columns") == 2
     head = F.concat(F.lit(PREAMBLE[0]), F.when(F.coalesce(cjk, F.lit(False)), PREAMBLE[1]).otherwise(PREAMBLE[2]) if cjk is not None else F.lit(PREAMBLE[2]), F.lit(PREAMBLE[3]), F.when(two, PREAMBLE[4]).otherwise(""), F.lit(PREAMBLE[5]))
     mark = F.lit("") if logo is None else F.when(logo.isNotNull(), _around("\n\\noindent\\hfill\\includegraphics[height=1.8em]{", logo, "}\\par\\noindent\\hrule\\vspace{4pt}\n")).otherwise("")
     columns = F.concat(F.col("full"), F.lit("\n\\begin{paracol}{2}\n\\RaggedRight\n"), F.col("left"), F.lit("\n\\switchcolumn\n\\RaggedRight\n"), F.col("right"), F.lit("\n\\end{paracol}\n"))
     single = F.concat_ws("\n", *[F.when(F.col(z) != "", F.col(z)) for z in ("full", "left", "right")])
     return body.select("page_id", F.concat(head, mark, F.when(two, columns).otherwise(single), F.lit(CLOSING)).alias("tex"))
+
+
+# Environments whose content is the formula; lines that hold an equation's number.
+FORMULA_ENV = r"\\begin\{(equation|align|gather|multline)\*?\}(.*?)\\end\{\1\*?\}"
+EQUATION_NUMBER = r"(?m)^\s*\(\d+[a-z]?\)\s*$"
+
+
+def formula_of_page_reading(text: Column) -> Column:
+    """The formula in a full-page reading: out of its environment and delimiters, without equation numbers and leading lines of prose."""
+    out = strip(text)
+    out = strip(F.regexp_replace(out, r"(?s)^.*?" + FORMULA_ENV + ".*$", "$2"))
+    out = strip(F.regexp_replace(out, r"(?s)^\\\[(.*)\\\].*$", "$1"))
+    out = strip(F.regexp_replace(out, r"(?s)^\$\$(.*)\$\$.*$", "$1"))
+    out = strip(F.regexp_replace(out, EQUATION_NUMBER, ""))
+    # lines before the first one with a sign of mathematics go, if there is such a line
+    out = strip(F.regexp_replace(out, r"^(?:[^\n\\_^{}=]*\n)+(?=[^\n]*[\\_^{}=])", ""))
+    return strip(strip_delimiters(F.regexp_replace(out, r"\n\s*\n", "\n")))
+
+
+def fallback_formula(whole: Column, rows: Column, columns: Column, width: Column, height: Column, name: Column) -> Column:
+    """The first reading that is sound: the whole crop's, its rows' joined by line breaks, its columns' joined by spaces, else the crop as a figure."""
+    joined = F.when((F.size(rows) > 1) & F.forall(rows, lambda r: r != ""), F.array_join(rows, " \\\\ "))
+    beside = F.when((F.size(columns) > 1) & F.forall(columns, lambda c: c != ""), F.array_join(columns, " "))
+    tried = [F.when(passes_gate(x, width, height), x) for x in (whole, joined, beside)]
+    return F.coalesce(*tried, _around("\\includegraphics[width=\\linewidth]{", name, "}"))
+
+
+def formula_page(line: Column) -> Column:
+    """A document that shows one formula."""
+    return _around("\\documentclass{article}\n\\usepackage{amsmath}\n\\begin{document}\n\\[\n", line, "\n\\]\n\\end{document}\n")

@@ -23,14 +23,20 @@ def folded_ned(a: Column, b: Column) -> Column:
 
 
 # Pairs of delimiters around a formula, in the order in which they are stripped.
-DELIMITERS = ("$$", r"\[", r"\]", r"\(", r"\)", "$")
+DELIMITERS = ("$$", "$", r"\[", r"\]", r"\(", r"\)")
 
 
-def without_delimiters(text: Column) -> Column:
+def strip_delimiters(text: Column) -> Column:
+    """Without each delimiter in turn at the start and at the end, one independent of the other."""
     for d in DELIMITERS:
         mark = "".join(f"\\{c}" for c in d)
-        text = F.regexp_replace(F.regexp_replace(text, f"^{mark}", ""), f"{mark}$", "")
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+        text = F.regexp_replace(F.regexp_replace(text, f"^{mark}", ""), f"{mark}\\z", "")
+    return text
+
+
+def without_delimiters(text: Column) -> Column:
+    """The same with white space collapsed."""
+    return F.regexp_replace(F.regexp_replace(strip_delimiters(text), r"(?U)\s+", " "), r"^ | $", "")
 
 
 def edr(pred: Column, gold: Column) -> Column:
@@ -64,21 +70,25 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def corpus_bleu(pairs: DataFrame, pred: str = "pred", gold: str = "gold", order: int = 4) -> DataFrame:
-    """One row: corpus BLEU of whitespace tokens with clipped counts; 0 where an order has no match."""
-    tokens = pairs.select(words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g")).withColumn("row", F.monotonically_increasing_id())
-    lengths = tokens.agg(F.sum(F.size("p")).alias("pl"), F.sum(F.size("g")).alias("gl"))
-
-    def counted(side: str) -> DataFrame:
-        sizes = F.explode(F.sequence(F.lit(1), F.lit(order)))
-        by = tokens.select("row", F.col(side).alias("t"), sizes.alias("n")).filter("size(t) >= n")
-        grams = by.select("row", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), "\x01"))).alias("gram"))
-        return grams.groupBy("row", "n", "gram").agg(F.count("*").alias(f"c_{side}"))
-
-    both = counted("p").join(counted("g"), ["row", "n", "gram"], "left")
-    hits = both.groupBy("n").agg(F.sum(F.least("c_p", F.coalesce("c_g", F.lit(0)))).alias("hit"), F.sum("c_p").alias("all"))
-    logs = hits.agg(F.count_if(F.col("hit") > 0).alias("orders"), F.sum(F.when(F.col("hit") > 0, F.log(F.col("hit") / F.col("all")))).alias("logs"))
+    """One row: corpus BLEU of whitespace tokens with clipped counts; 0 where an order has no match.
+
+    Counts are kept apart by a hash of the pair's texts; pairs that are equal
+    may be counted together, as clipping then scales with their number.
+    """
+    tokens = pairs.select(F.xxhash64(pred, gold).alias("pair"), words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g"))
+
+    def grams(side: str) -> DataFrame:
+        sizes = F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")
+        by = tokens.select("pair", F.col(side).alias("t"), sizes).filter("size(t) >= n")
+        cut = F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), "\x01"))
+        return by.select("pair", "n", F.explode(cut).alias("gram"), F.lit(int(side == "p")).alias("in_p"), F.lit(int(side == "g")).alias("in_g"))
+
+    counts = grams("p").unionByName(grams("g")).groupBy("pair", "n", "gram").agg(F.sum("in_p").alias("p"), F.sum("in_g").alias("g"))
+    hits = counts.groupBy("n").agg(F.sum(F.least("p", "g")).alias("hit"), F.sum("p").alias("all")).filter("hit > 0")
+    logs = hits.agg(F.count("*").alias("orders"), F.sum(F.log(F.col("hit") / F.col("all"))).alias("logs"), F.lit(1).alias("_k"))
+    lengths = tokens.agg(F.sum(F.size("p")).alias("pl"), F.sum(F.size("g")).alias("gl"), F.lit(1).alias("_k"))
     brevity = F.when(F.col("pl") >= F.col("gl"), 1.0).otherwise(F.exp(1 - F.col("gl") / F.col("pl")))
-    return logs.join(lengths).select(F.when(F.col("orders") == order, brevity * F.exp(F.col("logs") / order)).otherwise(0.0).alias("bleu"))
+    return logs.join(lengths, "_k").select(F.when(F.col("orders") == order, brevity * F.exp(F.col("logs") / order)).otherwise(0.0).alias("bleu"))
 
 
 def latency_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
@@ -100,3 +110,41 @@ def entropy(symbols: DataFrame, group: str, symbol: str, states: int = 256) -> D
 def preferred(first: Column, second: Column) -> Column:
     """The first value unless it is null or 0."""
     return F.coalesce(F.nullif(first, F.lit(0.0)), second)
+
+
+def attribute(scores: Column, name: str) -> Column:
+    """Of a map of scores those under ``name: label``, by their labels."""
+    start = f"{name}: "
+    own = F.map_filter(scores, lambda k, v: k.startswith(start) & v.isNotNull())
+    return F.transform_keys(own, lambda k, _: F.substring(k, len(start) + 1, 1 << 30))
+
+
+def report_rows(results: DataFrame) -> DataFrame:
+    """(element, attr, label, value, place) from (element, scores): keys ``attr: label`` in order of their values; totals are no rows."""
+    rows = results.select("element", F.explode("scores").alias("key", "value")).filter(F.col("key").contains(": ") & F.col("value").isNotNull())
+    parts = F.split("key", ": ", 2)
+    named = rows.select("element", parts[0].alias("attr"), parts[1].alias("label"), "value")
+    place = F.row_number().over(Window.partitionBy("element", "attr").orderBy("value", "label"))
+    return named.withColumn("place", place.cast("long"))
+
+
+def side_by_side(samples: DataFrame, row: str, column: str, value: str, conditions: list[str]) -> DataFrame:
+    """One row for each page with its value under every condition."""
+    return samples.groupBy(row).pivot(column, conditions).agg(F.max(value))
+
+
+def mean_of_batches(samples: DataFrame, group: str, batch: str, value: str) -> DataFrame:
+    """(group, mean_of_batches): the mean of the batches' means, whatever their sizes."""
+    return samples.groupBy(group, batch).agg(F.avg(value).alias("_m")).groupBy(group).agg(F.avg("_m").alias("mean_of_batches"))
+
+
+def warm_summary(samples: DataFrame, group: str, value: str, order: list[str]) -> DataFrame:
+    """(group, warm_mean, peak, speedup, reduction): the mean without each group's first sample, compared with the plain mean and the peak."""
+    ordered = samples.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    by = ordered.groupBy(group).agg(F.avg(F.when(F.col("_i") > 1, F.col(value))).alias("warm"), F.avg(value).alias("every"), F.max(value).alias("peak"))
+    return by.select(group, F.round("warm", 6).alias("warm_mean"), "peak", F.round(F.col("every") / F.col("warm"), 6).alias("speedup"), F.round((1 - F.col("warm") / F.col("peak")) * 100, 6).alias("reduction"))
+
+
+def setting_summary(rows: DataFrame, setting: str, score: str, pred: str) -> DataFrame:
+    """(setting, mean_edr, empty, n) of a sweep's results."""
+    return rows.groupBy(setting).agg(F.avg(score).alias("mean_edr"), F.count_if(F.col(pred) == "").alias("empty"), F.count("*").alias("n"))

@@ -34,6 +34,7 @@ OCR_REPAIRS = (
     (r"(?U)(\w) ?-[\s]+([a-z])", "$1$2"),
     (r"(?U)\b(\d{1,3})\.(\d{3})\b", "$1,$2"),
 )
+# How bullets and headings begin, what is escaped, which code points are CJK, what plain text lacks.
 BULLET_START = r"^(?:[•–]\s+|\d+[.)]\s+|\bModel\s+[A-D][\s:\-.]|Level\s+\d|(?:[A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*){0,3}):(?:\s|$))"
 BULLET_SPLIT = r"(?<!^)(?=\bModel\s+[A-D][\s:\-.])"
 HEADER_SPLIT = r"(?<!^)(?=(?:(?<![IVXLCDMivxlcdm])[IVX]+\.[ \t])|(?:(?<![A-Z])[A-Z]\.[ \t]))"
@@ -134,10 +135,26 @@ def seconds_from_log(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, r"done in ([\d.]+)s", 1), F.lit("")).cast("double")
 
 
-def percent(x: Column, digits: int = 1) -> Column:
-    return F.when(x.isNull(), "N/A").otherwise(F.concat(F.format_number(x * 100, digits), F.lit("%")))
+def accuracy(distance: Column) -> Column:
+    """A distance as the percentage that is right, one decimal; N/A for null."""
+    return F.when(distance.isNull(), "N/A").otherwise(F.format_string("%.1f%%", (1 - distance) * 100))
 
 
-def bar(x: Column, width: int = 20) -> Column:
-    full = F.greatest(F.lit(0), F.least(F.lit(width), F.round(x * width).cast("int")))
-    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+def four_places(distance: Column) -> Column:
+    return F.when(distance.isNull(), "N/A").otherwise(F.format_string("%.4f", distance))
+
+
+def bar(distance: Column, width: int = 20) -> Column:
+    """What is right as a bar, cut to whole blocks; blank for null."""
+    full = ((1 - distance) * width).cast("int")
+    return F.when(distance.isNull(), " " * width).otherwise(F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full)))
+
+
+def shortened(text: Column, most: int = 60) -> Column:
+    """At most ``most`` characters, an ellipsis where something is cut off."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
+
+
+def reading_of(result: Column) -> Column:
+    """The text of a model's JSON result, under whichever name it stands."""
+    return F.coalesce(*[F.get_json_object(result, p) for p in ("$.rec_formula", "$.res.rec_formula", "$.rec_text", "$.text")], F.lit(""))

@@ -40,3 +40,19 @@ def positions(table: DataFrame) -> DataFrame:
     """Queue position, from 1, of the jobs that wait."""
     waiting = table.filter("status = 'queued'")
     return waiting.withColumn("position", F.row_number().over(Window.orderBy("queued_at", "job_id")))
+
+
+def board(changes: DataFrame, patience: float = 300.0, keep: float = 600.0) -> DataFrame:
+    """(job_id, status, position) from changes(job_id, seq, at, status), ``at`` in seconds, as of the last change.
+
+    A job is what its latest change says. Work that takes longer than
+    ``patience`` is an error; jobs that ended ``keep`` seconds ago are
+    forgotten; waiting jobs have a position from 1, first in, first out.
+    """
+    last = changes.groupBy("job_id").agg(F.max_by("status", F.struct("at", "seq")).alias("status"), F.max("at").alias("at"))
+    now = changes.agg(F.max("at").alias("now")).first()["now"]
+    age = F.lit(now) - F.col("at")
+    alive = last.filter(~(F.col("status").isin("done", "error") & (age > keep)))
+    alive = alive.withColumn("status", F.when((F.col("status") == "processing") & (age > patience), "error").otherwise(F.col("status")))
+    nth = F.row_number().over(Window.partitionBy("status").orderBy("at", "job_id"))
+    return alive.select("job_id", "status", F.when(F.col("status") == "queued", nth.cast("long")).alias("position"))
