@@ -2,17 +2,19 @@
 
 detections(page_id, det_id, class_name, confidence, x1, y1, x2, y2). Everything
 is partitioned by page_id; det_id is the unique tie-breaker of every order. The
-sequential rules (each step sees what earlier ones changed) run once for each
-page in Arrow-batched groups; pages hold at most a few hundred boxes.
+sequential rules (each step sees what earlier ones changed) run page after page over sorted
+partitions, many pages to an Arrow batch; pages hold at most a few hundred boxes.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, containment, iou, pad_clamp
+from ..functions.geometry import box, containment, iou, pad_clamp, softmax
 
 # Label sets and thresholds that results depend on.
 TEXT_CLASSES = ("Text", "Title", "Section-header", "Caption", "List-item", "Footnote", "Page-header", "Page-footer")
@@ -27,6 +29,7 @@ CLIP_IOU = 0.3
 MERGE_GAP = 8
 
 COLUMNS = ["page_id", "det_id", "class_name", "confidence", "x1", "y1", "x2", "y2"]
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 SCHEMA = "page_id long, det_id long, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
 
 
@@ -39,6 +42,13 @@ def without_headers(dets: DataFrame, height: float) -> DataFrame:
     return dets.filter(~(F.col("class_name").isin("Section-header", "Page-header") & (F.col("y2") <= 0.12 * height)))
 
 
+def scored(rows: DataFrame, logits: str, least: float) -> DataFrame:
+    """Add ``label`` and ``score``: the best class of a softmax whose last class is none; scores over ``least`` stay."""
+    shares = F.slice(softmax(F.col(logits)), F.lit(1), F.size(logits) - 1)
+    found = rows.withColumn("_s", shares).withColumn("score", F.array_max("_s"))
+    return found.withColumn("label", (F.array_position("_s", F.col("score")) - 1).cast("int")).filter(F.col("score") > least).drop("_s")
+
+
 def sound_boxes(dets: DataFrame) -> DataFrame:
     return dets.filter("x2 > x1 and y2 > y1")
 
@@ -75,6 +85,18 @@ def best_recall(truth: DataFrame, found: DataFrame, least_iou: float = 0.5) -> D
     return best.withColumn("hit", F.col("best_iou") >= least_iou)
 
 
+def diagnosis(truth: DataFrame, found: DataFrame, least_iou: float = 0.5, held: float = 0.8) -> DataFrame:
+    """One row: truths, recall, mean_iou of those hit, merge_rate: the share of found boxes that hold two true ones or more."""
+    best = best_recall(truth, found, least_iou)
+    own = truth.select("page_id", F.col("det_id").alias("t_id"), *[F.col(c).alias(f"{c}_b") for c in ("x1", "y1", "x2", "y2")])
+    inside = found.select("page_id", "det_id", "x1", "y1", "x2", "y2").join(own, "page_id", "left").withColumn("in", F.coalesce(containment(box("_b"), box()) >= held, F.lit(False)))
+    merged = inside.groupBy("page_id", "det_id").agg(F.count_if("in").alias("n"))
+    share = lambda hits: F.round(hits / F.greatest(F.count("*"), F.lit(1)), 6)
+    left = best.agg(F.count("*").alias("truths"), share(F.count_if("hit")).alias("recall"), F.round(F.avg(F.when(F.col("hit"), F.col("best_iou"))), 6).alias("mean_iou"), F.lit(1).alias("_k"))
+    right = merged.agg(share(F.count_if(F.col("n") >= 2)).alias("merge_rate"), F.lit(1).alias("_k"))
+    return left.join(right, "_k").drop("_k")
+
+
 def _iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     both = max(0.0, w) * max(0.0, h)
@@ -92,14 +114,32 @@ def _inside(inner, outer) -> float:
     return max(0.0, w) * max(0.0, h) / own if own > 0 else 0.0
 
 
-def by_page(dets: DataFrame, rule, schema: str = SCHEMA) -> DataFrame:
-    """Apply a rule (list of row dicts in det_id order -> list of row dicts) to every page."""
+def by_page(dets: DataFrame, rule: Callable[[list[dict]], list[dict]], schema: str = SCHEMA, columns: tuple[str, ...] = tuple(COLUMNS), order: str = "det_id") -> DataFrame:
+    """Apply a rule (list of row dicts in ``order`` -> list of row dicts) to every page.
+
+    Partitions are sorted by page and read as a stream: one page at a time is
+    held, and results leave with the batch in which a page ends.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
+    target = pa.schema([(part.split()[0], _ARROW[part.split()[1]]) for part in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page: list[dict] = []
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                if page and row["page_id"] != page[0]["page_id"]:
+                    out += rule(page)
+                    page = []
+                page.append(row)
+            yield _batch(out)
+        if page:
+            yield _batch(rule(page))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(rule(page.sort_values("det_id").to_dict("records")), columns=names)
+    def _batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, target.types, strict=True)], schema=target)
 
-    return dets.select(*COLUMNS).groupBy("page_id").applyInPandas(run, schema)
+    return dets.select(*columns).repartition("page_id").sortWithinPartitions("page_id", order).mapInArrow(run, schema)
 
 
 def _box(d: dict) -> tuple:
@@ -191,16 +231,22 @@ def postprocess_page(rows: list[dict], width: float, height: float) -> list[dict
     return [r | {"x1": max(0.0, r["x1"] - 2), "y1": max(0.0, r["y1"] - 2), "x2": min(width, r["x2"] + 2), "y2": min(height, r["y2"] + 2)} for r in left]
 
 
-def accept_new_page(rows: list[dict], offered: list[dict], most_iou: float = 0.4) -> list[dict]:
-    """Supplementary boxes that overlap no box of their class by more than ``most_iou``; accepted ones count for the next."""
-    kept, added = list(rows), []
-    for d in offered:
+def accept_new_page(rows: list[dict], most_iou: float = 0.4) -> list[dict]:
+    """Of rows marked ``offered`` those that overlap no box of their class by more than ``most_iou``; accepted ones count for the next."""
+    kept, added = [r for r in rows if not r["offered"]], []
+    for d in (r for r in rows if r["offered"]):
         if all(k["class_name"] != d["class_name"] or _iou(_box(k), _box(d)) <= most_iou for k in kept):
             kept.append(d)
             added.append(d)
     return added
 
 
+def accepted(dets: DataFrame, offered: DataFrame, most_iou: float = 0.4) -> DataFrame:
+    """Supplementary boxes that may join a page's detections, in order of their ids."""
+    both = dets.select(*COLUMNS, F.lit(False).alias("offered")).unionByName(offered.select(*COLUMNS, F.lit(True).alias("offered")))
+    return by_page(both, lambda rows: accept_new_page(rows, most_iou), columns=(*COLUMNS, "offered"))
+
+
 def logo_rows(dets: DataFrame, width: float, height: float) -> DataFrame:
     """A synthetic picture in the top right corner (25 % by 6.5 %) of every page that has none there."""
     x1, y2 = 0.75 * width, 0.065 * height

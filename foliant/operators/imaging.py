@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Thresholds of the page-capture decisions.
@@ -78,6 +78,18 @@ def pixel_report(pixels: DataFrame) -> DataFrame:
     )
 
 
+def crop_branch(contrast: Column, background: Column) -> Column:
+    """How a photographed crop is prepared: flat ones are binarised, dark ones equalised."""
+    return F.when(contrast < 40, "binarise").when(background < 200, "equalise").otherwise("plain")
+
+
+def channel_means(pixels: DataFrame) -> DataFrame:
+    """(image_id, m0, m1, m2, gain0, gain1, gain2) of pixels(image_id, channel, grey): means, and what scales each to their common mean."""
+    means = pixels.groupBy("image_id").agg(*[F.avg(F.when(F.col("channel") == i, F.col("grey"))).alias(f"m{i}") for i in range(3)]).na.drop(subset=["m0", "m1", "m2"])
+    common = (F.col("m0") + F.col("m1") + F.col("m2")) / 3
+    return means.select("*", *[(common / F.greatest(F.col(f"m{i}"), F.lit(1e-6))).alias(f"gain{i}") for i in range(3)])
+
+
 def otsu(pixels: DataFrame) -> DataFrame:
     """(image_id, threshold): the grey level that separates the two classes best."""
     from pyspark.sql import Window
@@ -88,7 +100,7 @@ def otsu(pixels: DataFrame) -> DataFrame:
     rows = counts.withColumn("w0", F.sum("c").over(low)).withColumn("s0", F.sum(F.col("c") * F.col("grey")).over(low))
     rows = rows.withColumn("w", F.sum("c").over(whole)).withColumn("s", F.sum(F.col("c") * F.col("grey")).over(whole)).filter("w0 < w")
     between = F.col("w0").cast("double") * (F.col("w") - F.col("w0")) * F.pow(F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0")), 2)
-    return rows.groupBy("image_id").agg(F.max_by("grey", F.struct(between, -F.col("grey"))).alias("threshold"))
+    return rows.groupBy("image_id").agg(F.max_by("grey", F.struct(F.round(between, 3), -F.col("grey"))).alias("threshold"))
 
 
 def ink_box(pixels: DataFrame, dark: int = 200) -> DataFrame:
@@ -172,11 +184,41 @@ def white_balance(image: np.ndarray) -> np.ndarray:
     return np.clip(image * (means.mean() / np.maximum(means, 1e-6)), 0, 255).astype(np.uint8)
 
 
+def regions(mask: np.ndarray) -> np.ndarray:
+    """A number for each connected region of the mask (corners connect), from 1; 0 outside."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        padded = np.pad(label, 1)
+        most = np.max([padded[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        grown = np.where(mask, most, 0)
+        # follow each region's number to the one that its own first pixel has by now
+        grown = np.where(grown > 0, np.maximum(grown, np.append(0, grown.ravel())[grown]), 0)
+        if (grown == label).all():
+            break
+        label = grown
+    _, out = np.unique(label, return_inverse=True)
+    return out.reshape(mask.shape) + (0 if (label == 0).any() else 1)
+
+
 def glare_mask(image: np.ndarray, level: int = GLARE, least: int = 100) -> np.ndarray:
-    """Bright regions of at least ``least`` pixels, grown by one window."""
-    bright = grey(image) > level
-    grown = box_mean(bright.astype(np.float64), 7) > 0.5 / 49
-    return grown if bright.sum() >= least else np.zeros_like(bright)
+    """Bright regions, closed twice and grown once by a 5 by 5 window; each counts from ``least`` pixels on."""
+    bright = (grey(image) > level).astype(np.uint8)
+    for work in (dilate, dilate, erode, erode, dilate):
+        bright = work(bright, 5)
+    label = regions(bright > 0)
+    sizes = np.bincount(label.ravel())
+    return (label > 0) & (sizes[label] >= least)
+
+
+def illumination_spread(image: np.ndarray, size: int = 51) -> float:
+    """How unevenly a page is lit: the spread of the ratio of its wide blur to that blur's mean."""
+    blur = gaussian(grey(image), size)
+    return float(np.std(blur / max(blur.mean(), 1e-6)))
+
+
+def suppress_glare(image: np.ndarray) -> np.ndarray:
+    """Glare filled, then contrast equalised."""
+    return equalise(remove_glare(image))
 
 
 def remove_glare(image: np.ndarray, level: int = GLARE, size: int = 5) -> np.ndarray:
@@ -381,3 +423,111 @@ def normalise(image: np.ndarray, entropy: float, white: float) -> np.ndarray:
     for step in (remove_glare, remove_shadows, remove_moire, equalise):
         upright = step(upright)
     return white_balance(upright) if upright.ndim == 3 else upright
+
+
+def frame(image: np.ndarray, border: int, fill: int = 255) -> np.ndarray:
+    return np.pad(image, [(border, border), (border, border)] + [(0, 0)] * (image.ndim - 2), constant_values=fill)
+
+
+def prepare_crop(image: np.ndarray, screenshot: bool) -> np.ndarray:
+    """A crop as a reader takes it: framed and capped; photographed ones in grey, binarised or equalised by their contrast and background."""
+    border, most = (10, 960) if screenshot else (30, 1500)
+    if not screenshot:
+        image = grey(image)
+        contrast, background = float(image.std()), float(np.percentile(image, 90))
+        image = sauvola(image) if contrast < 40 else equalise(image) if background < 200 else image
+    out = frame(image, border)
+    scale = min(1.0, most / max(out.shape[:2]))
+    return out if scale == 1 else resize(out, max(1, round(out.shape[0] * scale)), max(1, round(out.shape[1] * scale)))
+
+
+def tensor(image: np.ndarray, side: int = 384, mean: float = 0.7931, spread: float = 0.1738) -> np.ndarray:
+    """A formula crop as three equal normalised channels."""
+    one = (fit_square(grey(image), side).astype(np.float32) / 255 - mean) / spread
+    return np.repeat(one[None], 3, axis=0)
+
+
+def table_tensor(image: np.ndarray, side: int = 800, means: tuple = (0.485, 0.456, 0.406), spreads: tuple = (0.229, 0.224, 0.225)) -> np.ndarray:
+    """A table crop with its longest side at ``side``, channels normalised."""
+    scale = side / max(image.shape[:2])
+    small = resize(image, max(1, round(image.shape[0] * scale)), max(1, round(image.shape[1] * scale)))
+    rgb = small if small.ndim == 3 else np.dstack([small] * 3)
+    return ((rgb.astype(np.float32) / 255 - np.array(means, np.float32)) / np.array(spreads, np.float32)).transpose(2, 0, 1)
+
+
+def thumbnail(image: np.ndarray, height: int, width: int, fill: int = 0, seed: int | None = None) -> np.ndarray:
+    """Shrunk to fit and padded, centred or at a place fixed by the seed."""
+    scale = min(1.0, height / image.shape[0], width / image.shape[1])
+    small = resize(image, max(1, int(image.shape[0] * scale)), max(1, int(image.shape[1] * scale)))
+    room = height - small.shape[0], width - small.shape[1]
+    rng = None if seed is None else np.random.default_rng(seed)
+    y, x = (n // 2 if rng is None else int(rng.integers(0, n + 1)) for n in room)
+    out = np.full((height, width, *image.shape[2:]), fill, np.uint8)
+    out[y : y + small.shape[0], x : x + small.shape[1]] = small
+    return out
+
+
+def training_view(image: np.ndarray, seed: int, side: int = 384) -> np.ndarray:
+    """A training sample: trimmed to its ink, changed by one augmentation drawn by the seed, padded at random."""
+    g = grey(image)
+    dark = np.argwhere(g < 200)
+    if len(dark):
+        (y0, x0), (y1, x1) = dark.min(0), dark.max(0) + 1
+        g = g[y0:y1, x0:x1]
+    work = (lambda x: x, erode, dilate, bitmap, fog, rain, frost, shadow)[int(np.random.default_rng(seed).integers(0, 8))]
+    return thumbnail(255 - work(g), side, side, seed=seed)
+
+
+def evaluation_view(image: np.ndarray, side: int = 384) -> np.ndarray:
+    """The same without chance."""
+    g = grey(image)
+    dark = np.argwhere(g < 200)
+    if len(dark):
+        (y0, x0), (y1, x1) = dark.min(0), dark.max(0) + 1
+        g = g[y0:y1, x0:x1]
+    return thumbnail(255 - g, side, side)
+
+
+def disk(radius: int) -> np.ndarray:
+    """A round kernel that sums to one."""
+    y, x = np.indices((2 * radius + 1, 2 * radius + 1)) - radius
+    kernel = (y * y + x * x <= radius * radius).astype(float)
+    return kernel / kernel.sum()
+
+
+def zoom(image: np.ndarray, factor: float) -> np.ndarray:
+    """The middle of the image, enlarged to its size."""
+    h, w = (max(1, int(np.ceil(n / factor))) for n in image.shape[:2])
+    y, x = (image.shape[0] - h) // 2, (image.shape[1] - w) // 2
+    return resize(image[y : y + h, x : x + w], *image.shape[:2])
+
+
+def frost(image: np.ndarray, strength: float = 0.4, seed: int = 0) -> np.ndarray:
+    """Crystals: thresholded noise blended over the image."""
+    side = 1 << int(np.ceil(np.log2(max(2, *image.shape[:2]))))
+    ice = 255 * (plasma(side, 1.7, seed)[: image.shape[0], : image.shape[1]] > 0.5)
+    return np.clip(image * (1 - strength) + strength * (ice if image.ndim == 2 else ice[..., None]), 0, 255).astype(np.uint8)
+
+
+def shadow(image: np.ndarray, strength: float = 0.5, seed: int = 0) -> np.ndarray:
+    """A dark band from top to bottom, at places fixed by the seed."""
+    h, w = image.shape[:2]
+    edges = np.sort(np.random.default_rng(seed).uniform(0, w, (2, 2)), axis=1)
+    y, x = np.indices((h, w))
+    left, right = (edges[0, i] + (edges[1, i] - edges[0, i]) * y / max(1, h - 1) for i in (0, 1))
+    dark = np.where((x >= left) & (x <= right), 1 - strength, 1.0)
+    return (image * (dark if image.ndim == 2 else dark[..., None])).astype(np.uint8)
+
+
+def line_clusters(lines: list[tuple[float, float]], angle: float = 15.0, apart: float = 50.0) -> list[tuple[float, float]]:
+    """Lines (rho, theta) gathered around the first of each cluster, within 15 degrees and 50 pixels of it; the means stand for them."""
+    seeds: list[list[tuple[float, float]]] = []
+    for rho, theta in lines:
+        for own in seeds:
+            turn = abs(np.degrees(theta - own[0][1])) % 180
+            if min(turn, 180 - turn) < angle and abs(rho - own[0][0]) < apart:
+                own.append((rho, theta))
+                break
+        else:
+            seeds.append([(rho, theta)])
+    return [(float(np.mean([r for r, _ in own])), float(np.mean([t for _, t in own]))) for own in seeds]

@@ -44,6 +44,26 @@ def visual_lines(dets: DataFrame) -> DataFrame:
     return by_page(dets, visual_lines_page, LINE_SCHEMA)
 
 
+def reading_page(rows: list[dict]) -> list[dict]:
+    """Visual lines of a page and, over them, the reading order, in one pass: captions wait for their nearest picture or table, footnotes come last."""
+    placed = visual_lines_page(rows)
+    holders = [d for d in placed if d["class_name"] in ("Picture", "Table")]
+    keys = {}
+    for d in placed:
+        due = d["ord"]
+        if d["class_name"] == "Caption":
+            near = [(min(abs(d["y1"] - p["y2"]), abs(d["y2"] - p["y1"])), p["ord"]) for p in holders if min(abs(d["y1"] - p["y2"]), abs(d["y2"] - p["y1"])) < (CAPTION_REACH if min(d["x2"], p["x2"]) > max(d["x1"], p["x1"]) else CAPTION_TOUCH)]
+            due = max(due, min(near)[1]) if near else due
+        keys[d["ord"]] = (d["class_name"] == "Footnote", due, due > d["ord"], d["ord"])
+    order = {k: n for n, k in enumerate(sorted(keys, key=keys.__getitem__), 1)}
+    return [d | {"reading": order[d["ord"]]} for d in placed]
+
+
+def reading_pages(dets: DataFrame) -> DataFrame:
+    """detections with ``line``, ``ord`` and ``reading``."""
+    return by_page(dets, reading_page, LINE_SCHEMA + ", reading long")
+
+
 def caption_parents(dets: DataFrame, order: str = "det_id") -> DataFrame:
     """(page_id, det_id, parent_id, dist): the nearest picture or table of each caption that has one in reach; ``order`` breaks ties."""
     captions = dets.filter(F.col("class_name") == "Caption")
@@ -85,13 +105,19 @@ def narrow(dets: DataFrame, width: float) -> DataFrame:
     return dets.filter(F.col("x2") - F.col("x1") < FULL_WIDTH * width)
 
 
-def coverage(dets: DataFrame, width: float) -> DataFrame:
-    """(page_id, bin, cover): how many narrow boxes lie over each of 200 vertical strips, empty strips included."""
+def covers(dets: DataFrame, width: float) -> DataFrame:
+    """(page_id, covers): an array of how many narrow boxes lie over each of 200 vertical strips."""
     at = lambda c: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), (F.col(c) / width * BINS).cast("int")))
     spans = narrow(dets, width).select("page_id", at("x1").alias("l"), at("x2").alias("r")).filter("r >= l")
-    counted = spans.select("page_id", F.explode(F.sequence("l", "r")).alias("bin")).groupBy("page_id", "bin").agg(F.count("*").alias("cover"))
-    every = spans.select("page_id").distinct().select("page_id", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
-    return every.join(counted, ["page_id", "bin"], "left").select("page_id", F.col("bin").cast("long").alias("bin"), F.coalesce("cover", F.lit(0)).cast("long").alias("cover"))
+    pages = spans.groupBy("page_id").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
+    count = lambda b: F.size(F.filter("spans", lambda s: (s["l"] <= b) & (s["r"] >= b)))
+    return pages.select("page_id", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), count).alias("covers"))
+
+
+def coverage(dets: DataFrame, width: float) -> DataFrame:
+    """(page_id, bin, cover): the same with a row for each strip, empty strips included."""
+    rows = covers(dets, width).select("page_id", F.posexplode("covers").alias("bin", "cover"))
+    return rows.select("page_id", F.col("bin").cast("long").alias("bin"), F.col("cover").cast("long").alias("cover"))
 
 
 def gutters(cover: DataFrame, most: int = 0) -> DataFrame:
@@ -152,6 +178,74 @@ def column_counts(dets: DataFrame, width: float) -> DataFrame:
     return found.select("page_id", F.coalesce("strict", "relaxed", "by_gaps", "voted", F.lit(1)).cast("long").alias("columns"))
 
 
+def gutter_centres(cover: DataFrame, width: float) -> DataFrame:
+    """(page_id, bounds): the middles of the empty gutters in pixels, in order."""
+    return gutters(cover).groupBy("page_id").agg(F.sort_array(F.collect_list((F.col("g_start") + F.col("g_end")) / 2 / BINS * width)).alias("bounds"))
+
+
+def centroid_bounds(dets: DataFrame, width: float) -> DataFrame:
+    """(page_id, by_gaps, bounds): the middles of the centre gaps that ``centroid_columns`` counts, in pixels, in order."""
+    page = Window.partitionBy("page_id")
+    cols = centroid_columns(dets, width)
+    centred = narrow(dets, width).select("page_id", "det_id", ((F.col("x1") + F.col("x2")) / (2 * width)).alias("c"))
+    after = F.lead("c").over(page.orderBy("c", "det_id"))
+    gaps = centred.withColumn("gap", after - F.col("c")).withColumn("middle", (after + F.col("c")) / 2 * width).filter("gap is not null")
+    ranked = gaps.withColumn("rank", F.row_number().over(page.orderBy(F.col("gap").desc(), "c", "det_id"))).join(cols, "page_id").filter("rank < by_gaps")
+    return ranked.groupBy("page_id", "by_gaps").agg(F.sort_array(F.collect_list("middle")).alias("bounds"))
+
+
+def groups(dets: DataFrame, width: float) -> DataFrame:
+    """Add ``columns`` of the page and ``grp``, the group of its document that a box belongs to.
+
+    Pages of one column have group 0 only. With two, group 0 is what spans the
+    page, 1 and 2 are left and right. With more, group 0 is what is wide, then
+    one for each column between the empty gutters; where those leave fewer than
+    three columns with boxes, between the widest centre gaps, if there are any.
+    """
+    counted = dets.join(column_counts(dets, width), "page_id")
+    zone = F.expr("case zone when 'full' then 0 when 'left' then 1 else 2 end")
+    two = zones(counted.filter("columns = 2"), width).withColumn("grp", zone).drop("zone")
+    many = counted.filter("columns >= 3")
+    wide = F.col("x2") - F.col("x1") >= FULL_WIDTH * width
+    centre = (F.col("x1") + F.col("x2")) / 2
+    column = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: centre > b)), F.lit(0))
+    cut = many.join(gutter_centres(coverage(many, width), width), "page_id", "left").withColumn("_first", column("bounds"))
+    filled = cut.filter(~wide).groupBy("page_id").agg(F.count_distinct("_first").alias("_filled"), F.max(F.col("bounds").isNotNull()).alias("_cut"))
+    spare = centroid_bounds(many, width).select("page_id", F.col("bounds").alias("_spare"))
+    both = cut.join(filled, "page_id", "left").join(spare, "page_id", "left")
+    again = F.coalesce("_cut", F.lit(False)) & (F.col("_filled") < 3) & F.col("_spare").isNotNull()
+    grp = F.when(wide, 0).when(again, 1 + column("_spare")).otherwise(1 + F.col("_first"))
+    many = both.withColumn("grp", grp).drop("bounds", "_first", "_filled", "_cut", "_spare")
+    one = counted.filter("columns = 1").withColumn("grp", F.lit(0))
+    return one.unionByName(two).unionByName(many)
+
+
+def group_order_page(rows: list[dict]) -> list[dict]:
+    """Within each group the reading order, or the geometric one where that jumps back too often; pages of one column keep the reading order."""
+    out: list[dict] = []
+    for g in sorted({r["grp"] for r in rows}):
+        placed = reading_page([r for r in rows if r["grp"] == g])
+        by = sorted(placed, key=lambda d: d["reading"])
+        if rows[0]["columns"] > 1 and not monotonic_rows(by):
+            by = sorted(placed, key=lambda d: d["ord"])
+        out += [d | {"place": i} for i, d in enumerate(by, 1)]
+    return out
+
+
+def monotonic_rows(rows: list[dict], most_back: float = 0.25, jump: float = 50.0) -> bool:
+    """Whether at most a quarter of the steps jump back up by over 50 pixels; true under three boxes."""
+    centres = [(d["y1"] + d["y2"]) / 2 for d in rows]
+    back = sum(b < a - jump for a, b in zip(centres, centres[1:], strict=False))
+    return len(rows) < 3 or back / (len(rows) - 1) <= most_back
+
+
+def group_order(grouped: DataFrame) -> DataFrame:
+    """``groups`` with ``place``, from 1 within each group of a page."""
+    schema = SCHEMA + ", columns long, grp long, place long"
+    rows = grouped.withColumn("columns", F.col("columns").cast("long")).withColumn("grp", F.col("grp").cast("long"))
+    return by_page(rows, group_order_page, schema, (*COLUMNS, "columns", "grp"))
+
+
 def monotonic(dets: DataFrame, order: str, most_back: float = 0.25, jump: float = 50.0) -> DataFrame:
     """(page_id, monotonic): whether at most a quarter of the steps jump back up by over 50 pixels; true under three boxes."""
     centre = (F.col("y1") + F.col("y2")) / 2
