@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, text
-from ..functions.geometry import box
 from ..operators import detections as D
 from ..operators import layout as L
+from . import pages, pictures, scores, words  # noqa: F401  each registers its queries
 from .fixture import HEIGHT, SQL, WIDTH, detections
+from .registry import AREA as _AREA
+from .registry import BOTH as _BOTH
+from .registry import CONFIDENT as _CONFIDENT
+from .registry import ORACLES, QUERIES, TURNS_SQL, query, turns
+from .registry import good as _good
+from .registry import table as _table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-_AREA = "greatest(0e0, {0}x2 - {0}x1) * greatest(0e0, {0}y2 - {0}y1)"
-_BOTH = "greatest(0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
-_CONFIDENT = SQL + ", good AS (SELECT * FROM dets WHERE confidence >= 0.3) "
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.confident(detections(spark, sf_dir))
-
+__all__ = ["ORACLES", "QUERIES"]
 
 @query(SQL + "SELECT * FROM dets WHERE confidence >= 0.3")
 def conf_filter(spark, sf_dir):
@@ -120,12 +100,6 @@ def reading_order_simple(spark, sf_dir):
     return L.reading_order(rows, "ord").select("page_id", "det_id", "class_name", "reading")
 
 
-@query()
-def reading_order(spark, sf_dir):
-    """Reading order over visual lines."""
-    return L.reading_order(L.visual_lines(_good(spark, sf_dir)), "ord").select("page_id", "det_id", "class_name", "line", "ord", "reading")
-
-
 @query(
     _CONFIDENT
     + f""" SELECT page_id, det_id, CASE WHEN x2 - x1 >= 0.7e0 * {WIDTH} OR (x1 < {WIDTH} / 2 - 0.2e0 * {WIDTH} AND x2 > {WIDTH} / 2 + 0.2e0 * {WIDTH}) THEN 'full'
@@ -173,41 +147,6 @@ def gutters(spark, sf_dir):
     return L.gutters(L.coverage(_good(spark, sf_dir), WIDTH))
 
 
-@query()
-def column_count(spark, sf_dir):
-    return L.column_counts(_good(spark, sf_dir), WIDTH)
-
-
-@query()
-def nms_keep(spark, sf_dir):
-    return D.by_page(_good(spark, sf_dir), D.nms_page)
-
-
-@query()
-def detector_nms(spark, sf_dir):
-    return D.by_page(detections(spark, sf_dir).filter("confidence >= 0.25"), D.detector_nms_page)
-
-
-@query()
-def overlap_resolve(spark, sf_dir):
-    return D.by_page(_good(spark, sf_dir), D.resolve_page)
-
-
-@query()
-def merge_boxes(spark, sf_dir):
-    return D.by_page(_good(spark, sf_dir), D.merge_page)
-
-
-@query()
-def postprocess(spark, sf_dir):
-    return D.by_page(detections(spark, sf_dir), lambda rows: D.postprocess_page(rows, float(WIDTH), float(HEIGHT)))
-
-
-@query()
-def visual_lines(spark, sf_dir):
-    return L.visual_lines(_good(spark, sf_dir))
-
-
 @query(
     _CONFIDENT
     + """, l AS (SELECT *, class_name = 'List-item' AS is_item, row_number() OVER w AS ord, coalesce(lag(class_name) OVER w, '') = 'List-item' AS before, coalesce(lead(class_name) OVER w, '') = 'List-item' AS after
@@ -284,47 +223,29 @@ def offending_lines(spark, sf_dir):
     return odd.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-def _turns(spark, sf_dir) -> DataFrame:
-    """Each turn with the next one of its conversation, ASCII only."""
-    turns = _table(spark, sf_dir, "conversations").withColumn("plain", text.strip_nonascii(F.col("text")))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "plain")
-    return turns.withColumn("next", F.lead("plain").over(w)).filter("next is not null")
-
-
-_TURNS_SQL = r"""
-WITH plain AS (SELECT *, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g'), '\s+', ' ', 'g')) ELSE text END AS plain FROM conversations),
-turns AS (SELECT *, lead(plain) OVER (PARTITION BY conv_id ORDER BY turn, role, plain) AS next FROM plain)
-"""
-
-
 @query(
-    _TURNS_SQL
+    TURNS_SQL
     + """, n AS (SELECT role, CASE WHEN next = '' THEN CASE WHEN plain = '' THEN 0e0 ELSE 1e0 END ELSE levenshtein(plain, next) / CAST(greatest(length(plain), length(next)) AS DOUBLE) END AS ned FROM turns WHERE next IS NOT NULL)
   SELECT coalesce(role, 'all') AS role, round(avg(ned), 6) AS ned, round(1 - avg(ned), 6) AS accuracy, count(*) AS n FROM n GROUP BY ROLLUP (role)"""
 )
 def ned_by_role(spark, sf_dir):
-    rows = _turns(spark, sf_dir).select("role", metrics.ned(F.col("plain"), F.col("next")).alias("ned"))
+    rows = turns(spark, sf_dir).select("role", metrics.ned(F.col("plain"), F.col("next")).alias("ned"))
     return rows.rollup("role").agg(F.round(F.avg("ned"), 6).alias("ned"), F.round(1 - F.avg("ned"), 6).alias("accuracy"), F.count("*").alias("n")).withColumn("role", F.coalesce("role", F.lit("all")))
 
 
 @query(
-    _TURNS_SQL
+    TURNS_SQL
     + r""", s AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(plain, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(next, ' '), lambda x: x <> '')) AS b FROM turns WHERE next IS NOT NULL)
   SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0e0 ELSE round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) END AS overlap FROM s"""
 )
 def token_jaccard(spark, sf_dir):
     words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(metrics.jaccard(words("plain"), words("next")), 6).alias("overlap"))
+    return turns(spark, sf_dir).select("conv_id", "turn", F.round(metrics.jaccard(words("plain"), words("next")), 6).alias("overlap"))
 
 
 @query()
 def token_edit_distance(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("role").agg(F.round(F.avg(metrics.token_distance(F.col("plain"), F.col("next"))), 6).alias("distance"), F.count("*").alias("n"))
-
-
-@query()
-def corpus_bleu(spark, sf_dir):
-    return metrics.corpus_bleu(_turns(spark, sf_dir), "plain", "next")
+    return turns(spark, sf_dir).groupBy("role").agg(F.round(F.avg(metrics.token_distance(F.col("plain"), F.col("next"))), 6).alias("distance"), F.count("*").alias("n"))
 
 
 @query(
@@ -366,11 +287,6 @@ def ocr_clean(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_ocr(F.col("text")).alias("cleaned"))
 
 
-@query()
-def bullet_items(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.bullet_items(F.col("text"))).alias("nth", "item"))
-
-
 def _plain_sql(column: str) -> str:
     for pattern, new in text.PLAIN:
         new = new.replace("$1", r"\1").replace("\n", "' || chr(10) || '")

@@ -36,7 +36,7 @@ WITH items AS (
   SELECT *, 1 + page_id % 4 AS ncols,
     CAST(row_number() OVER (PARTITION BY page_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS det_id
   FROM items
-), dets AS (
+), dets AS MATERIALIZED (
   SELECT page_id, det_id, ({list(CLASSES)})[1 + h % 14] AS class_name, (20 + 8 * round(l_discount * 100, 0)) / 100 AS confidence,
     CASE WHEN l_tax = 0.08 THEN 20e0 ELSE (l_partkey % ncols) * (1000e0 / ncols) + 8 + h % 5 END AS x1,
     CAST((h * 13) % 1300 AS DOUBLE) AS y1,

@@ -1,6 +1,5 @@
 import math
 
-import duckdb
 import pytest
 
 from foliant.functions import geometry as G
@@ -119,16 +118,3 @@ def test_geometry(spark):
     ).first()
     assert row["iou"] == pytest.approx(1 / 7) and row["none"] == 0 and row["half"] == 0.5 and row["even"] == [0.5, 0.5]
     assert row["up"] == pytest.approx(250 / 96) and row["down"] == 0.5 and row["cap"] == 1
-
-
-def test_queries_equal_their_sql(spark):
-    from foliant.plans import catalogue
-
-    con = duckdb.connect()
-    for t in ("lineitem", "documents", "conversations", "benchmark", "labels", "events", "embeddings", "pages"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("conf_filter", "caption_parent", "reading_order_simple", "gutters", "ned_by_role", "lang_decision", "html_strip", "report_pivot"):
-        frame = catalogue.QUERIES[name](spark, SF)
-        columns = sorted(frame.columns)
-        want = sorted(map(str, con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall()))
-        assert sorted(str(tuple(r)) for r in frame.select(*columns).collect()) == want, name

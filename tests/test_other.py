@@ -40,7 +40,7 @@ def test_table_grid(spark):
     axes = tables.axes(spark.createDataFrame([(1, 1, *map(float_or, b)) for b in boxes], "page_id long, det_id long, label string, score double, x1 double, y1 double, x2 double, y2 double"), 100)
     cells = tables.grid(tables.table_tokens(tokens, 100), axes)
     assert tables.grid_html(cells).first()["html"] == '<table border="1"><tr><td>a</td><td>b</td></tr><tr><td>c c2</td><td></td></tr></table>'
-    assert {r["tok_id"]: r["row"] for r in tables.running_rows(tokens, 12).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+    assert {r["tok_id"]: r["row"] for r in tables.running_rows(tokens).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
     assert [r["text"] for r in tables.ocr_lines(tokens).orderBy("line").collect()] == ["a b", "cc2", "---"]
 
 
@@ -111,3 +111,52 @@ def test_feed(spark, tmp_path):
         (tmp_path / "in" / "d.webp").write_bytes(b"y")
     table = spark.createDataFrame([("j1", "done", 1), ("j2", "queued", 3), ("j3", "queued", 2)], "job_id string, status string, queued_at long")
     assert {r["job_id"]: r["position"] for r in feed.positions(table).collect()} == {"j3": 1, "j2": 2}
+
+
+def test_more_pixel_operators():
+    text = np.full((80, 120), 255, np.uint8)
+    text[20:60:10, 20:100] = 0
+    mask = np.zeros((30, 30), bool)
+    mask[2:6, 2:6], mask[6, 6], mask[20:29, 10:29] = True, True, True
+    label = imaging.regions(mask)
+    assert label.max() == 2 and (label[mask] > 0).all() and len(set(label[2:7, 2:7][mask[2:7, 2:7]])) == 1 and (imaging.regions(~np.zeros((3, 3), bool)) == 1).all()
+    spots = np.full((60, 60), 100, np.uint8)
+    spots[5:8, 5:8], spots[30:50, 30:50] = 255, 255
+    found = imaging.glare_mask(spots, least=200)
+    assert found[40, 40] and not found[6, 6]
+    for f in (imaging.frost, imaging.shadow, imaging.suppress_glare, lambda x: imaging.zoom(x, 1.5)):
+        assert f(text).shape == text.shape and f(text).dtype == np.uint8
+    assert imaging.prepare_crop(text, True).shape == (100, 140) and imaging.prepare_crop(np.dstack([text] * 3), False).shape == (140, 180)
+    assert max(imaging.prepare_crop(np.full((2_000, 300), 9, np.uint8), True).shape) == 960
+    assert imaging.tensor(text).shape == (3, 384, 384) and imaging.table_tensor(text).shape == (3, 533, 800)
+    assert imaging.thumbnail(text, 40, 200).shape == (40, 200) and (imaging.thumbnail(text, 90, 130, seed=1) == imaging.thumbnail(text, 90, 130, seed=1)).all()
+    assert imaging.training_view(text, 5).shape == (384, 384) and imaging.evaluation_view(text).max() == 255
+    assert imaging.disk(2).sum() == pytest.approx(1) and (imaging.disk(2) > 0).sum() == 13
+    assert imaging.illumination_spread(text) < imaging.illumination_spread(imaging.gradient(np.full((80, 120), 255, np.uint8)) // 2)
+    assert imaging.line_clusters([(10, 0.0), (30, 0.1), (100, 0.0), (12, 3.14)]) == [(pytest.approx(52 / 3), pytest.approx(3.24 / 3)), (100.0, 0.0)]
+
+
+def test_more_sources(spark, tmp_path):
+    page = {"page_info": {"image_path": "a.png", "width": 10, "height": 20, "page_attribute": "{'language': 'english'}"},
+            "layout_dets": [{"category_type": "equation_isolated", "poly": [1, 2, 50, 2, 50, 80, 1, 80], "latex": x, "ignore": False} for x in "xyz"] + [{"category_type": "equation_isolated", "poly": [1, 2, 5, 2, 5, 8, 1, 8], "latex": "s", "ignore": False}]}
+    (tmp_path / "gt.json").write_text(json.dumps([page]))
+    assert [tuple(r)[:3] for r in sources.formula_crops(sources.gt_pages(spark, str(tmp_path / "gt.json")), 2).collect()] == [("f0000", "a.png", "x"), ("f0001", "a.png", "y")]
+    (tmp_path / "sets" / "one").mkdir(parents=True)
+    (tmp_path / "sets" / "two").mkdir()
+    (tmp_path / "sets" / "one" / "a.txt").write_text("x\n y \n")
+    (tmp_path / "sets" / "two" / "a.txt").write_text("z\n")
+    assert sorted(map(tuple, sources.named_sets(spark, str(tmp_path / "sets")).collect())) == [("one", "x"), ("one", "y"), ("two", "z")]
+    lines = sources.corpus_lines(spark, [str(tmp_path / "sets" / d / "a.txt") for d in ("one", "two")])
+    assert sorted(map(tuple, lines.collect())) == [(0, "x"), (1, "y"), (2, "z")]
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}))
+    vocabulary, merges = sources.tokenizer_parts(spark, str(tmp_path / "t.json"))
+    assert {tuple(r) for r in vocabulary.collect()} == {("a", 0), ("b", 1), ("ab", 2)} and [tuple(r) for r in merges.collect()] == [(0, "a", "b", "ab")]
+    (tmp_path / "k.txt").write_text("a\n\nb\na\n")
+    assert sorted(r["token"] for r in sources.keep_list(spark, str(tmp_path / "k.txt")).collect()) == ["a", "b"]
+    (tmp_path / "c.tsv").write_text("i1\tone\ni2\ttwo\n")
+    first, again = ([tuple(r) for r in sources.captions(spark, str(tmp_path / "c.tsv"), 3).collect()] for _ in range(2))
+    assert first == again and sorted(first) == [("i1", "one"), ("i2", "two")]
+    (tmp_path / "0000001.png").write_bytes(b"p")
+    images = sources.images(spark, str(tmp_path / "*.png"))
+    pairs = sources.image_text_pairs(images, spark.createDataFrame([(0, "a"), (1, "b")], "line_no long, text string"))
+    assert [tuple(r) for r in pairs.collect()] == [(bytearray(b"p"), "b")]
