@@ -413,17 +413,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 def _mixed(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, i, j, own, node, label, size) of the keys whose members lie in several components, dealt to pairs of bounded blocks."""
-    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = members.join(classes.select("node", "size"), "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "size")
     number = F.xxhash64("node")
     by_key = named.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(number.bitwiseAND((1 << 40) - 1)).alias("s"), F.bit_xor(number).alias("x")
-    ).filter("low <> high")
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("total"),
+        F.count("*").alias("n"), F.sum(number.bitwiseAND((1 << 40) - 1)).alias("s"), F.bit_xor(number).alias("x"),
+    ).filter("low <> high")
     # keys with the same members decide the same pairs: keep one of each
-    kept = by_key.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
-    sized = named.join(kept, "key").join(classes.select("node", "size"), "node")
-    total = sized.groupBy("key").agg(F.sum("size").alias("total"))
     parts = F.ceil(F.greatest(F.col("n") / _BLOCK, F.col("total") / _BLOCK_SHINGLES)).cast("int")
-    dealt = sized.join(total, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    kept = by_key.groupBy("n", "s", "x").agg(F.min(F.struct("key", parts.alias("parts"))).alias("k")).select("k.*")
+    dealt = named.join(kept, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "size")
 
