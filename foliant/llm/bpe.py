@@ -33,9 +33,9 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 #: so for it texts may be cut before any white character that follows a different one.
 #: Under another pattern every text is one chunk.
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_CACHED = 250_000
+_CACHED = 120_000
 _CACHED_CHARS = 64
-_CACHED_PAIRS = 500_000
+_CACHED_PAIRS = 250_000
 _NEVER = 1 << 62
 _LARGEST_VOCABULARY = 64 << 20
 
@@ -202,6 +202,11 @@ class Encoder:
             known.clear()
         return out
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts: a worker lives on for other stages."""
+        for cache in (self._pieces, self._chunks, self._pairs):
+            cache.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -247,6 +252,7 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, decode: bool = True) ->
                     raise ValueError("token ids do not decode to their text")
                 columns.append(pa.array(back, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        own.forget()
 
     schema = "doc_id long, ids binary" + ", decoded binary" * decode
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), schema)

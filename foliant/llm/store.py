@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BYTES, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+_BYTES, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of the two or three numbers that a broadcast may hold: some tens of megabytes.
 BROADCAST_ROWS = 500_000
@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Send Python workers about four megabytes at once, so that long texts stay bounded; one row is a batch at least.
+    """Send Python workers about a megabyte at once, so that long texts stay bounded; one row is a batch at least.
 
     The setting stays, as results are computed after this call; one that the
     caller made is left alone.
