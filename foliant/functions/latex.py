@@ -104,7 +104,7 @@ def bodies(parts: DataFrame) -> DataFrame:
 
 
 def page_documents(regions: DataFrame, content: str = "content", cjk: Column | None = None) -> DataFrame:
-    """(page_id, tex) of regions placed by ``layout.group_order``: (page_id, columns, grp, place, class_name, content).
+    """(page_id, tex) of regions placed by ``layout.placed``: (page_id, columns, grp, place, class_name, content).
 
     Groups follow each other, figures and lists run on; only pages of two
     columns set their groups 1 and 2 side by side.

@@ -139,99 +139,116 @@ def two_column_votes(dets: DataFrame, width: float) -> DataFrame:
     return votes.withColumn("two_columns", F.expr("crossing <= 2 and left_items >= 3 and right_items >= 3"))
 
 
-def _columns_by_gutters(dets: DataFrame, cover: DataFrame, width: float, most: int, name: str) -> DataFrame:
+def _free_runs(cover: list[int], most: int) -> list[tuple[int, int]]:
+    """First and last strip of the runs of three or more with at most ``most`` boxes, within the inner 90 %."""
+    runs, start = [], None
+    low, high = int(BINS * INNER[0]), int(BINS * INNER[1])
+    for b in range(low, high + 1):
+        free = b < high and cover[b] <= most
+        if free and start is None:
+            start = b
+        elif not free and start is not None:
+            if b - start >= LEAST_GUTTER_BINS:
+                runs.append((start, b - 1))
+            start = None
+    return runs
+
+
+def _between(runs: list[tuple[int, int]], centres: list[float]) -> int | None:
     """Columns between gutters: empty edges trimmed; three or more, each with two boxes, or none."""
-    bounds = gutters(cover, most).groupBy("page_id").agg(F.sort_array(F.collect_list(F.col("g_end") + 1)).alias("bounds"))
-    centred = narrow(dets, width).select("page_id", ((F.col("x1") + F.col("x2")) / 2 / width * BINS).alias("c")).filter(f"c >= 0 and c < {BINS}")
-    column = F.size(F.filter("bounds", lambda b: b.cast("double") <= F.col("c")))
-    counts = centred.join(bounds, "page_id").groupBy("page_id", column.alias("col")).agg(F.count("*").alias("n"))
-    span = counts.groupBy("page_id").agg((F.max("col") - F.min("col") + 1).alias("wide"), F.count("*").alias("filled"), F.min("n").alias("least"))
-    good = F.expr("wide >= 3 and filled = wide and least >= 2")
-    return span.filter(good).select("page_id", F.least(F.col("wide"), F.lit(MOST_COLUMNS)).cast("long").alias(name))
-
-
-def centroid_columns(dets: DataFrame, width: float, least_gap: float = 0.15, least_boxes: int = 2) -> DataFrame:
-    """(page_id, by_gaps): the fewest columns, three or more, whose n-1 largest centre gaps are wide enough and all hold two boxes."""
-    page = Window.partitionBy("page_id")
-    centred = narrow(dets, width).select("page_id", "det_id", ((F.col("x1") + F.col("x2")) / (2 * width)).alias("c"))
-    ordered = centred.withColumn("i", F.row_number().over(page.orderBy("c", "det_id"))).withColumn("n", F.count("*").over(page)).filter("n >= 6")
-    gaps = ordered.withColumn("gap", F.lead("c").over(page.orderBy("i")) - F.col("c")).filter("gap is not null")
-    ranked = gaps.withColumn("rank", F.row_number().over(page.orderBy(F.col("gap").desc(), "i")))
-    tried = ranked.filter("rank <= 7").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("rank", "gap", "i"))).alias("top"), F.first("n").alias("n"))
-    options = tried.select("page_id", "n", "top", F.explode(F.sequence(F.lit(3), F.lit(8))).alias("cols")).filter("cols < n and size(top) >= cols - 1")
-    cuts = F.sort_array(F.transform(F.slice("top", 1, F.col("cols") - 1), lambda g: g["i"].cast("long")))
-    edges = F.concat(F.array(F.lit(0).cast("long")), cuts, F.array(F.col("n")))
-    sizes = F.transform(F.sequence(F.lit(1), F.col("cols")), lambda k: F.element_at(edges, k + 1) - F.element_at(edges, k))
-    wide = F.element_at("top", F.col("cols") - 1)["gap"] >= least_gap
-    fit = options.filter(wide & (F.array_min(sizes) >= least_boxes))
-    return fit.groupBy("page_id").agg(F.min("cols").cast("long").alias("by_gaps"))
+    filled: dict[int, int] = {}
+    for c in centres:
+        if 0 <= c < BINS:
+            col = sum(last + 1 <= c for _, last in runs)
+            filled[col] = filled.get(col, 0) + 1
+    if not runs or not filled:
+        return None
+    wide = max(filled) - min(filled) + 1
+    return min(wide, MOST_COLUMNS) if wide >= 3 and len(filled) == wide and min(filled.values()) >= 2 else None
+
+
+def _apart(rows: list[dict], width: float, least_gap: float = 0.15, least_boxes: int = 2) -> tuple[int | None, list[float]]:
+    """The fewest columns, three or more, whose n-1 largest centre gaps are wide enough and all hold two boxes; and the middles of those gaps in pixels."""
+    centres = [c for c, _ in sorted(((r["x1"] + r["x2"]) / (2 * width), r["det_id"]) for r in rows)]
+    if len(centres) < 6:
+        return None, []
+    ranked = sorted(range(len(centres) - 1), key=lambda i: (-(centres[i + 1] - centres[i]), i))
+    for cols in range(3, 9):
+        cut = sorted(ranked[: cols - 1])
+        edges = [0, *[i + 1 for i in cut], len(centres)]
+        if cols < len(centres) and len(cut) == cols - 1 and centres[ranked[cols - 2] + 1] - centres[ranked[cols - 2]] >= least_gap and min(y - x for x, y in zip(edges, edges[1:], strict=False)) >= least_boxes:
+            return cols, [(centres[i] + centres[i + 1]) / 2 * width for i in cut]
+    return None, []
+
+
+def columns_of(rows: list[dict], width: float) -> tuple[int, list[float], list[float]]:
+    """Columns of a page, 1 to 8: by empty gutters, then gutters with one box, then centre gaps, then the two-column vote.
+
+    Also the middles of the empty gutters and of the centre gaps, in pixels.
+    """
+    slim = [r for r in rows if r["x2"] - r["x1"] < FULL_WIDTH * width]
+    at = lambda x: max(0, min(BINS - 1, int(x / width * BINS)))
+    cover = [0] * BINS
+    for r in slim:
+        for b in range(at(r["x1"]), at(r["x2"]) + 1):
+            cover[b] += 1
+    strict, relaxed = (_free_runs(cover, most) if slim else [] for most in (0, 1))
+    centres = [(r["x1"] + r["x2"]) / 2 / width * BINS for r in slim]
+    spread, gaps = _apart(slim, width)
+    middle, band = width / 2, 0.08 * width
+    crossing = [r["x1"] < middle - band and r["x2"] > middle + band for r in slim]
+    left = sum(not x and r["x2"] <= middle for r, x in zip(slim, crossing, strict=True))
+    right = sum(not x and r["x2"] > middle and r["x1"] >= middle for r, x in zip(slim, crossing, strict=True))
+    voted = 2 if sum(crossing) <= 2 and left >= 3 and right >= 3 else 1
+    return _between(strict, centres) or _between(relaxed, centres) or spread or voted, [(a + b) / 2 / BINS * width for a, b in strict], gaps
 
 
 def column_counts(dets: DataFrame, width: float) -> DataFrame:
-    """(page_id, columns), 1 to 8: empty gutters, then gutters with one box, then centre gaps, then the two-column vote."""
-    cover = coverage(dets, width)
-    found = dets.select("page_id").distinct()
-    for most, name in ((0, "strict"), (1, "relaxed")):
-        found = found.join(_columns_by_gutters(dets, cover, width, most, name), "page_id", "left")
-    votes = two_column_votes(dets, width).select("page_id", F.when(F.col("two_columns"), F.lit(2)).cast("long").alias("voted"))
-    found = found.join(centroid_columns(dets, width), "page_id", "left").join(votes, "page_id", "left")
-    return found.select("page_id", F.coalesce("strict", "relaxed", "by_gaps", "voted", F.lit(1)).cast("long").alias("columns"))
-
-
-def gutter_centres(cover: DataFrame, width: float) -> DataFrame:
-    """(page_id, bounds): the middles of the empty gutters in pixels, in order."""
-    return gutters(cover).groupBy("page_id").agg(F.sort_array(F.collect_list((F.col("g_start") + F.col("g_end")) / 2 / BINS * width)).alias("bounds"))
-
-
-def centroid_bounds(dets: DataFrame, width: float) -> DataFrame:
-    """(page_id, by_gaps, bounds): the middles of the centre gaps that ``centroid_columns`` counts, in pixels, in order."""
-    page = Window.partitionBy("page_id")
-    cols = centroid_columns(dets, width)
-    centred = narrow(dets, width).select("page_id", "det_id", ((F.col("x1") + F.col("x2")) / (2 * width)).alias("c"))
-    after = F.lead("c").over(page.orderBy("c", "det_id"))
-    gaps = centred.withColumn("gap", after - F.col("c")).withColumn("middle", (after + F.col("c")) / 2 * width).filter("gap is not null")
-    ranked = gaps.withColumn("rank", F.row_number().over(page.orderBy(F.col("gap").desc(), "c", "det_id"))).join(cols, "page_id").filter("rank < by_gaps")
-    return ranked.groupBy("page_id", "by_gaps").agg(F.sort_array(F.collect_list("middle")).alias("bounds"))
+    """(page_id, columns) of every page, see ``columns_of``."""
+    return by_page(dets, lambda rows: [{"page_id": rows[0]["page_id"], "columns": columns_of(rows, width)[0]}], "page_id long, columns long")
 
 
-def groups(dets: DataFrame, width: float) -> DataFrame:
-    """Add ``columns`` of the page and ``grp``, the group of its document that a box belongs to.
+def place_page(rows: list[dict], width: float) -> list[dict]:
+    """Rows with ``columns``, ``grp`` and ``place``: the group of its page's document that a box belongs to and its place there.
 
     Pages of one column have group 0 only. With two, group 0 is what spans the
     page, 1 and 2 are left and right. With more, group 0 is what is wide, then
     one for each column between the empty gutters; where those leave fewer than
     three columns with boxes, between the widest centre gaps, if there are any.
+    Within a group boxes stand in reading order, or on pages of several columns
+    in the geometric one where the former jumps back too often.
     """
-    counted = dets.join(column_counts(dets, width), "page_id")
-    zone = F.expr("case zone when 'full' then 0 when 'left' then 1 else 2 end")
-    two = zones(counted.filter("columns = 2"), width).withColumn("grp", zone).drop("zone")
-    many = counted.filter("columns >= 3")
-    wide = F.col("x2") - F.col("x1") >= FULL_WIDTH * width
-    centre = (F.col("x1") + F.col("x2")) / 2
-    column = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda b: centre > b)), F.lit(0))
-    cut = many.join(gutter_centres(coverage(many, width), width), "page_id", "left").withColumn("_first", column("bounds"))
-    filled = cut.filter(~wide).groupBy("page_id").agg(F.count_distinct("_first").alias("_filled"), F.max(F.col("bounds").isNotNull()).alias("_cut"))
-    spare = centroid_bounds(many, width).select("page_id", F.col("bounds").alias("_spare"))
-    both = cut.join(filled, "page_id", "left").join(spare, "page_id", "left")
-    again = F.coalesce("_cut", F.lit(False)) & (F.col("_filled") < 3) & F.col("_spare").isNotNull()
-    grp = F.when(wide, 0).when(again, 1 + column("_spare")).otherwise(1 + F.col("_first"))
-    many = both.withColumn("grp", grp).drop("bounds", "_first", "_filled", "_cut", "_spare")
-    one = counted.filter("columns = 1").withColumn("grp", F.lit(0))
-    return one.unionByName(two).unionByName(many)
-
-
-def group_order_page(rows: list[dict]) -> list[dict]:
-    """Within each group the reading order, or the geometric one where that jumps back too often; pages of one column keep the reading order."""
+    columns, gutters_at, gaps_at = columns_of(rows, width)
+    middle = width / 2
+    centre = lambda r: (r["x1"] + r["x2"]) / 2
+    wide = lambda r: r["x2"] - r["x1"] >= FULL_WIDTH * width
+    if columns == 1:
+        group = lambda r: 0
+    elif columns == 2:
+        group = lambda r: 0 if wide(r) or (r["x1"] < middle - 0.2 * width and r["x2"] > middle + 0.2 * width) else 1 if centre(r) < middle else 2
+    else:
+        bounds = gutters_at
+        if gutters_at and gaps_at and len({sum(centre(r) > b for b in bounds) for r in rows if not wide(r)}) < 3:
+            bounds = gaps_at
+        group = lambda r: 0 if wide(r) else 1 + sum(centre(r) > b for b in bounds)
+    own: dict[int, list[dict]] = {}
+    for r in rows:
+        own.setdefault(group(r), []).append(r)
     out: list[dict] = []
-    for g in sorted({r["grp"] for r in rows}):
-        placed = reading_page([r for r in rows if r["grp"] == g])
-        by = sorted(placed, key=lambda d: d["reading"])
-        if rows[0]["columns"] > 1 and not monotonic_rows(by):
-            by = sorted(placed, key=lambda d: d["ord"])
-        out += [d | {"place": i} for i, d in enumerate(by, 1)]
+    for g, members in sorted(own.items()):
+        placed = reading_page(members)
+        by = sorted(placed, key=lambda x: x["reading"])
+        if columns > 1 and not monotonic_rows(by):
+            by = sorted(placed, key=lambda x: x["ord"])
+        out += [x | {"columns": columns, "grp": g, "place": i} for i, x in enumerate(by, 1)]
     return out
 
 
+def placed(dets: DataFrame, width: float) -> DataFrame:
+    """detections with ``columns``, ``grp`` and ``place``, see ``place_page``."""
+    return by_page(dets, lambda rows: place_page(rows, width), SCHEMA + ", columns long, grp long, place long")
+
+
 def monotonic_rows(rows: list[dict], most_back: float = 0.25, jump: float = 50.0) -> bool:
     """Whether at most a quarter of the steps jump back up by over 50 pixels; true under three boxes."""
     centres = [(d["y1"] + d["y2"]) / 2 for d in rows]
@@ -239,13 +256,6 @@ def monotonic_rows(rows: list[dict], most_back: float = 0.25, jump: float = 50.0
     return len(rows) < 3 or back / (len(rows) - 1) <= most_back
 
 
-def group_order(grouped: DataFrame) -> DataFrame:
-    """``groups`` with ``place``, from 1 within each group of a page."""
-    schema = SCHEMA + ", columns long, grp long, place long"
-    rows = grouped.withColumn("columns", F.col("columns").cast("long")).withColumn("grp", F.col("grp").cast("long"))
-    return by_page(rows, group_order_page, schema, (*COLUMNS, "columns", "grp"))
-
-
 def monotonic(dets: DataFrame, order: str, most_back: float = 0.25, jump: float = 50.0) -> DataFrame:
     """(page_id, monotonic): whether at most a quarter of the steps jump back up by over 50 pixels; true under three boxes."""
     centre = (F.col("y1") + F.col("y2")) / 2

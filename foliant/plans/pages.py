@@ -263,8 +263,7 @@ _GROUPS = (
 @query(CONFIDENT + _GROUPS + " SELECT page_id, det_id, CAST(columns AS BIGINT) AS columns, grp FROM grouped")
 def column_groups(spark, sf_dir):
     """The group of its page's document that each box belongs to: what is wide, then column by column."""
-    rows = L.groups(good(spark, sf_dir), WIDTH)
-    return rows.select("page_id", "det_id", F.col("columns").cast("long").alias("columns"), F.col("grp").cast("long").alias("grp"))
+    return L.placed(good(spark, sf_dir), WIDTH).select("page_id", "det_id", "columns", "grp")
 
 
 _PLACED = (
@@ -293,7 +292,7 @@ _PLACED = (
 @query(_RECURSIVE + _PLACED + " SELECT page_id, det_id, CAST(columns AS BIGINT) AS columns, grp, CAST(place AS BIGINT) AS place FROM places")
 def group_places(spark, sf_dir):
     """The order of boxes within the groups of a page."""
-    return L.group_order(L.groups(good(spark, sf_dir), WIDTH)).select("page_id", "det_id", "columns", "grp", "place")
+    return L.placed(good(spark, sf_dir), WIDTH).select("page_id", "det_id", "columns", "grp", "place")
 
 
 _LETTERS = "translate(CAST(det_id AS VARCHAR), '0123456789', 'abcdefghij')"
@@ -345,8 +344,7 @@ _HEAD = r"'\documentclass{article}' || chr(10) || '\usepackage[margin=2cm]{geome
 )
 def page_documents(spark, sf_dir):
     """One LaTeX document a page: columns counted, boxes grouped and ordered, fragments and lists assembled."""
-    placed = L.group_order(L.groups(good(spark, sf_dir), WIDTH))
-    return latex.page_documents(_with_content(placed))
+    return latex.page_documents(_with_content(L.placed(good(spark, sf_dir), WIDTH)))
 
 
 @query(
