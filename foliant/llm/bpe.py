@@ -15,7 +15,9 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,7 +35,7 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 #: so for it texts may be cut before any white character that follows a different one.
 #: Under another pattern every text is one chunk.
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_CACHED = 120_000
+_CACHED = 80_000
 _CACHED_CHARS = 64
 _CACHED_PAIRS = 250_000
 _NEVER = 1 << 62
@@ -45,6 +47,29 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Recent(dict):
+    """Results of ``work`` by text, of two generations: a full one becomes the older, what is asked again stays."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        self.work, self.older = work, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.work(text)
+            if len(text) > _CACHED_CHARS:
+                return found
+        if len(self) >= _CACHED:
+            self.older = dict(self)
+            super().clear()
+        self[text] = found
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary; ``pattern`` splits texts into pieces."""
 
@@ -63,8 +88,8 @@ class Encoder:
         self._pairs: dict[int, bool] = {}
         self._shorter = [-2] * len(self.sizes)
         self._spines: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._pieces = Recent(self._piece)
+        self._chunks = Recent(self._chunk)
 
     def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank until no pair is left, or ``until`` parts; only for single tokens, which are short."""
@@ -171,41 +196,25 @@ class Encoder:
                 token = self.shorter(token)
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        ids = array("I", self.encode_piece(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
-        known, out = self._pieces, []
-        for piece in self.pattern.findall(chunk):
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(self.encode_piece(piece.encode()), dtype="<u4").tobytes()
-                if len(piece) <= _CACHED_CHARS:
-                    if len(known) >= _CACHED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if not self._cuts:
             return self._chunk(text)
-        chunks, known = _CHUNK.findall(text), self._chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        long = {}
-        for chunk in set(chunks):
-            if chunk not in known:
-                (known if len(chunk) <= _CACHED_CHARS else long)[chunk] = self._chunk(chunk)
-        out = b"".join([known[c] if c in known else long[c] for c in chunks])
-        if len(known) > _CACHED:
-            known.clear()
-        return out
+        return b"".join(map(self._chunks.__getitem__, _CHUNK.findall(text)))
 
     def forget(self) -> None:
-        """Drop what was remembered of texts: a worker lives on for other stages."""
-        for cache in (self._pieces, self._chunks, self._pairs):
-            cache.clear()
+        """Drop what was remembered of texts, as a worker lives on for other stages; what is known of the vocabulary stays."""
+        self._pieces.clear()
+        self._chunks.clear()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
