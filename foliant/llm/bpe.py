@@ -3,8 +3,9 @@
 Every token is a key of an Aho-Corasick automaton over Latin-1 text (one
 character for each byte). Encoding takes the longest match at each position
 and goes on; two neighbours may stand together only
-if merging their joined bytes gives exactly the two of them (memoised). Where
-a match doesn't fit, the next shorter prefix token is tried; where none fits, the
+if merging their joined bytes gives exactly the two of them. Where a match
+doesn't fit, the next shorter prefix token is tried (which one may follow a
+token is memoised for each match); where none fits, the
 position is closed for good and the encoder steps back, so each position is
 opened once. The result is
 the sequence that merging by rank gives.
@@ -33,9 +34,10 @@ from .store import bounded_batches, frugal
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: No match of public_tokenizers.PATTERN holds a white character after another one,
 #: so for it texts may be cut before any white character that follows a different one.
-#: Under another pattern every text is one chunk.
+#: Under another pattern texts are only cut into its matches. Nor does a match change
+#: where it stands alone, so chunks and their matches share one cache.
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_CACHED = 80_000
+_CACHED = 150_000
 _CACHED_CHARS = 64
 _CACHED_PAIRS = 250_000
 _NEVER = 1 << 62
@@ -85,11 +87,10 @@ class Encoder:
             if self.merged(token) == [token]:
                 self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self._pairs: dict[int, bool] = {}
+        self._fitting: dict[int, int] = {}
         self._shorter = [-2] * len(self.sizes)
-        self._spines: dict[int, tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]] = {}
-        self._pieces = Recent(self._piece)
-        self._chunks = Recent(self._chunk)
+        self._spines: dict[int, tuple[tuple[tuple[bytes, int], ...], ...]] = {}
+        self._known = Recent(self._chunk if self._cuts else self._piece)
 
     def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank until no pair is left, or ``until`` parts; only for single tokens, which are short."""
@@ -105,38 +106,45 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def spines(self, a: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+    def spines(self, a: int) -> tuple[tuple[tuple[bytes, int], ...], ...]:
         """The parts that stand at the token's left and right edge while it is merged, each with the rank that ends it."""
         known = self._spines.get(a)
         if known is None:
-            known = self._spines[a] = ([], [])
-            for side, spine in zip((0, -1), known, strict=True):
-                part, end = self.tokens[a], _NEVER
-                spine.append((part, end))
-                while len(part) > 1:
-                    end = self.ranks[part]
-                    part = self.merged(part, 2)[side]
-                    spine.append((part, end))
+            known = self._spines[a] = (self._spine(a, 0), self._spine(a, -1))
         return known
 
+    def _spine(self, a: int, side: int) -> tuple[tuple[bytes, int], ...]:
+        part, spine = self.tokens[a], [(self.tokens[a], _NEVER)]
+        while len(part) > 1:
+            end = self.ranks[part]
+            part = self.merged(part, 2)[side]
+            spine.append((part, end))
+        return tuple(spine)
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joined bytes of two tokens leaves these two.
 
         A merge across the border takes place where its rank comes before the
         ranks that end its two parts; of two equal ranks the left one is first.
         """
-        key = a << 32 | b
-        known = self._pairs.get(key)
+        ranks = self.ranks
+        for x, x_end in self.spines(a)[1]:
+            for y, y_end in self.spines(b)[0]:
+                rank = ranks.get(x + y)
+                if rank is not None and rank < x_end and rank <= y_end:
+                    return False
+        return True
+
+    def fitting(self, a: int, b: int) -> int:
+        """The token ``b`` or the longest token it begins with that may stand after ``a``; -1 if there is none; memoised."""
+        known = self._fitting.get(a << 32 | b)
         if known is None:
-            if len(self._pairs) >= _CACHED_PAIRS:
-                self._pairs.clear()
-            ranks, known = self.ranks, True
-            for x, x_end in self.spines(a)[1]:
-                for y, y_end in self.spines(b)[0]:
-                    rank = ranks.get(x + y)
-                    if rank is not None and rank < x_end and rank <= y_end:
-                        known = False
-            self._pairs[key] = known
+            if len(self._fitting) >= _CACHED_PAIRS:
+                self._fitting.clear()
+            known = b
+            while known >= 0 and not self.compatible(a, known):
+                known = self.shorter(known)
+            self._fitting[a << 32 | b] = known
         return known
 
     def shorter(self, a: int) -> int:
@@ -151,22 +159,22 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        text, pairs = piece.decode("latin-1"), self._pairs
+        text, fitting = piece.decode("latin-1"), self._fitting
         found, sizes = [rank for _, rank in self.automaton.iter_long(text)], self.sizes
         if sum([sizes[t] for t in found]) < len(text):
             raise ValueError("the vocabulary lacks a byte of the text")
         last = found[0]
         for i in range(1, len(found)):
             token = found[i]
-            fits = pairs.get(last << 32 | token)
-            if not fits and (fits is not None or not self.compatible(last, token)):
+            fits = fitting.get(last << 32 | token)
+            if fits != token and (fits is not None or self.fitting(last, token) != token):
                 return self._backtrack(text, found[:i], token)
             last = token
         return found
 
     def _backtrack(self, text: str, found: list[int], token: int) -> list[int]:
         """Go on where the longest match ``token`` doesn't fit after the tokens found so far."""
-        n, sizes, pairs, shorter = len(text), self.sizes, self._pairs, self._shorter
+        n, sizes, fitting = len(text), self.sizes, self._fitting
         longest = [-1] * (n + 1)
         for end, rank in self.automaton.iter(text):
             longest[end + 1 - sizes[rank]] = rank  # ends rise, so the last one is the longest
@@ -174,14 +182,15 @@ class Encoder:
         at, last = sum([sizes[t] for t in found]), found[-1]
         while at < n:
             while token >= 0:
+                if last >= 0:
+                    fits = fitting.get(last << 32 | token)
+                    token = self.fitting(last, token) if fits is None else fits
+                    if token < 0:
+                        break
                 end = at + sizes[token]
                 if opened[end]:
-                    if last < 0:
-                        break
-                    fits = pairs.get(last << 32 | token)
-                    if fits or fits is None and self.compatible(last, token):
-                        break
-                token = shorter[token] if shorter[token] > -2 else self.shorter(token)
+                    break
+                token = self.shorter(token)
             if token >= 0:
                 found.append(token)
                 at, last = end, token
@@ -203,18 +212,19 @@ class Encoder:
         return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(chunk)))
+        pieces = self.pattern.findall(chunk)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return b"".join(map(self._known.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        if not self._cuts:
-            return self._chunk(text)
-        return b"".join(map(self._chunks.__getitem__, _CHUNK.findall(text)))
+        parts = _CHUNK.findall(text) if self._cuts else self.pattern.findall(text)
+        return b"".join(map(self._known.__getitem__, parts))
 
     def forget(self) -> None:
         """Drop what was remembered of texts, as a worker lives on for other stages; what is known of the vocabulary stays."""
-        self._pieces.clear()
-        self._chunks.clear()
+        self._known.clear()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

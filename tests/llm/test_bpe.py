@@ -71,3 +71,14 @@ def test_the_query(spark, both, tmp_path):
         want = both[1].encode_ordinary(text or "")
         assert got[i]["n_tokens"] == len(want) and got[i]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_exact_while_caches_turn_over(both, monkeypatch):
+    from foliant.llm import bpe as module
+
+    for name in ("_CACHED", "_CACHED_PAIRS"):
+        monkeypatch.setattr(module, name, 3)
+    own = Encoder(both[0].ranks, P.PATTERN)
+    for text in ("the unlikely, the unlikelier; it's wörter 's and and\n\n  the unlikely " * 5, "x" * 200 + ", " + "x" * 200, "中文🙂-= 19ab"):
+        assert ids(own.encode(text)) == both[1].encode_ordinary(text)
+        assert len(own._known) <= 3 and len(own._fitting) <= 3
