@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -160,3 +161,25 @@ def test_more_sources(spark, tmp_path):
     images = sources.images(spark, str(tmp_path / "*.png"))
     pairs = sources.image_text_pairs(images, spark.createDataFrame([(0, "a"), (1, "b")], "line_no long, text string"))
     assert [tuple(r) for r in pairs.collect()] == [(bytearray(b"p"), "b")]
+
+
+def test_job_states(spark, tmp_path):
+    start, dated = 1_700_000_000, []
+    files = [
+        [("j1", 1, 0, "queued"), ("j2", 1, 0, "queued"), ("j1", 2, 1, "processing")],
+        [("j3", 1, 400, "queued"), ("j2", 2, 390, "processing"), ("j2", 3, 390, "done")],
+        [("j4", 1, 1000, "queued")],
+        [("j5", 1, 1001, "queued")],
+    ]
+    for i, rows in enumerate(files):
+        frame = spark.createDataFrame([(j, s, t + start, x) for j, s, t, x in rows], "job_id string, seq long, at long, status string")
+        frame.withColumn("at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for made in set((tmp_path / "in").glob("part-*")) - set(dated):
+            os.utime(made, (start + i, start + i))
+            dated.append(made)
+    changes = spark.readStream.schema("job_id string, seq long, at timestamp, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = feed.job_states(changes).writeStream.format("memory").queryName("job_states").option("checkpointLocation", str(tmp_path / "cp"))
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = {tuple(r) for r in spark.table("job_states").select("job_id", "status", (F.unix_millis("at") / 1000 - start).cast("long")).collect()}
+    assert got >= {("j1", "processing", 1), ("j1", "error", 301), ("j1", "forgotten", 901), ("j2", "queued", 0), ("j2", "done", 390), ("j2", "forgotten", 990)}
+    assert got - {(f"j{n}", "queued", t) for n, t in ((3, 400), (4, 1000), (5, 1001))} == {r for r in got if r[0] in ("j1", "j2")} and len(got) == 9
