@@ -6,10 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Blocks in which equal ends are measured.
+BLOCKS = tuple(1 << k for k in range(30, -1, -1))
+
+
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def common_start(a: Column, b: Column, shortest: Column) -> Column:
+    """How many characters two texts share from the start; ``shortest`` is the shorter length."""
+
+    def longer(at: Column, block: Column) -> Column:
+        return F.when((at + block <= shortest) & (F.substring(a, at + 1, block) == F.substring(b, at + 1, block)), at + block).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, BLOCKS)), F.lit(0), longer)
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Two texts without the start they share."""
+    ends = lambda r, at: F.struct(F.substring(r["a"], at + 1, F.lit(2**31 - 1)).alias("a"), F.substring(r["b"], at + 1, F.lit(2**31 - 1)).alias("b"))
+    whole = F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n"))
+    return bound(whole, lambda r: bound(common_start(r["a"], r["b"], r["n"]), lambda at: ends(r, at)))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; equal ends, which add nothing to it, are cut off first, as time and memory grow with the product of the lengths."""
+    within = lambda r: bound(apart(F.reverse(r["a"]), F.reverse(r["b"])), lambda e: F.levenshtein(e["a"], e["b"]))
+    return bound(apart(a, b), within)
+
+
 def ned(pred: Column, gold: Column) -> Column:
     """Edit distance over the longer length; for an empty gold text 0 if nothing was predicted, else 1."""
     longest = F.greatest(F.length(pred), F.length(gold))
-    return F.when(F.length(gold) == 0, F.when(F.length(pred) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(pred, gold) / longest)
+    return F.when(F.length(gold) == 0, F.when(F.length(pred) == 0, 0.0).otherwise(1.0)).otherwise(distance(pred, gold) / longest)
 
 
 def folded(text: Column) -> Column:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +43,22 @@ def test_distances(spark):
     assert [r[1] for r in rows][2:] == [0.0, 1.0] and [r[2] for r in rows][2:] == [0.0, 0.0] and [r[3] for r in rows][2:] == [0.0, 1.0]
 
 
+def test_distance_equals_the_plain_one(spark):
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abé😀") for _ in range(n)) for n in (0, 1, 2, 3, 9, 40) for _ in range(4)]
+    pairs = [(a, b) for a in texts for b in texts] + [(a + m + b, a + b) for a, b in zip(texts, reversed(texts), strict=True) for m in ("", "é", "a😀")] + [(None, "a"), ("a", None), ("aaa", "aa"), ("abab", "ab")]
+    df = spark.createDataFrame(pairs, "p string, g string")
+    assert df.filter(~metrics.distance(F.col("p"), F.col("g")).eqNullSafe(F.levenshtein("p", "g"))).count() == 0
+
+
+def test_long_texts_with_equal_ends_take_little_time(spark):
+    unit = "".join(random.Random(2).choice("abcdé ") for _ in range(80_000))
+    pairs = spark.createDataFrame([(unit + "xx", unit), (unit[:40_000] + "ÄÖ" + unit[40_001:], unit), (unit, unit)], "p string, g string").coalesce(1)
+    began = time.time()
+    got = [r[0] for r in pairs.select(metrics.ned(F.col("p"), F.col("g"))).collect()]
+    assert got == [2 / 80_002, 2 / 80_001, 0.0] and time.time() - began < 20
+
+
 @pytest.mark.parametrize("pred,gold,want", [("hello world", "hello world", 0.0), ("[ C ] h t g k b S b", "[ C ] h t a b S b", 0.5253819788848316)])
 def test_bleu(spark, pred, gold, want):
     assert metrics.corpus_bleu(spark.createDataFrame([(pred, gold)], "pred string, gold string")).first()["bleu"] == pytest.approx(want)
