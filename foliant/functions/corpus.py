@@ -185,10 +185,12 @@ def unused_ids(used: DataFrame, size: int = 50_000) -> DataFrame:
 
 
 def without_unknown(rows: DataFrame, tokens: str, vocabulary: DataFrame) -> DataFrame:
-    """Rows none of whose tokens the vocabulary lacks."""
-    keyed = rows.withColumn("_row", F.struct(*rows.columns))
-    bad = keyed.select("_row", F.explode(tokens).alias("token")).join(vocabulary.select("token").distinct(), "token", "left_anti").select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+    """Rows none of whose tokens the vocabulary lacks; only distinct tokens move, each with a digest of its row's tokens."""
+    # hex and the count keep token lists apart whatever they hold
+    spelt = F.array_join(F.transform(tokens, lambda t: F.hex(t.cast("string"))), ",", "-")
+    keyed = rows.withColumn("_key", F.unhex(F.sha2(F.concat(F.size(tokens).cast("string"), F.lit(":"), spelt), 256)))
+    bad = keyed.select("_key", F.explode(F.array_distinct(tokens)).alias("token")).join(vocabulary.select("token").distinct(), "token", "left_anti").select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").drop("_key")
 
 
 def remapped(ids: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -103,3 +104,17 @@ def test_corpus(spark):
     assert {r["merged"] for r in corpus.kept_merges(merges, spark.createDataFrame([("abc",)], "token string")).collect()} == {"ab", "abc"}
     ids = spark.range(1).select(corpus.labels(corpus.fit_length(corpus.encode(F.array(F.lit("a"), F.lit("zz")), F.create_map(F.lit("a"), F.lit(7))), 6))).first()[0]
     assert ids == [7, 3, 2, -100, -100, -100]
+
+
+def test_rows_with_unknown_tokens(spark):
+    lists = [None, [], [""], ["a"], ["a", "b", "a"], ["a,b"], ["a", "x"], ["x"], ["x"], [None], ["-"], ["b", "a"]]
+    rows = spark.createDataFrame([(i, "long text" * 50, t) for i, t in enumerate(lists)], "id long, text string, t array<string>")
+    vocabulary = spark.createDataFrame([("a",), ("b",), ("b",)], "token string")
+    kept = corpus.without_unknown(rows, "t", vocabulary)
+    assert kept.columns == rows.columns
+    assert sorted(r["id"] for r in kept.collect()) == [i for i, t in enumerate(lists) if not t or set(t) <= {"a", "b"}]
+    # what is moved for each token holds neither the text nor the row's other tokens
+    narrow = kept.select("id")
+    plan = spark._jvm.PythonSQLUtils.explainString(narrow._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert len(moved) >= 3 and not any(re.search(r"\b(text|t|_row)#", m) for m in moved)
